@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verso.llm import bpe, mixing, quality_rules, secrets, toxicity
+from verso.llm import audio, bpe, chats, mixing, near_dups, quality_rules, secrets, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -32,6 +33,21 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.audio_columns(_table(spark, sf_dir, "documents"), keep=False)
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    text = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    return chats.digests(chats.rendered_messages(chats.events_of_turns(turns.select("conv_id", "turn", "role", "text").unionByName(more))))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), VOCABULARY, ids=False)
 
@@ -41,6 +57,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op5_mixing": op5_mixing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_audio_features": op7_audio_features,
+    "op8_chat_format": op8_chat_format,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
@@ -48,4 +67,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.SQL,
     "op5_mixing": mixing.SQL,
     "op6_secret_scan": secrets.SQL,
+    "op8_chat_format": chats.SQL,
 }
