@@ -256,3 +256,22 @@ def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 def toxicity(df: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Train on the labelled rows and score every row."""
     return score_texts(df, train(*training_rows(df, labels, settings), settings))
+
+
+def without_toxic(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df whose text isn't predicted toxic, with df's columns. One scan: the text is scored where it is read."""
+    spark = df.sparkSession
+    ship(spark)
+    small_batches(spark)
+    model = train(*training_rows(df, labels, settings, id_col, text_col), settings)
+    shared = spark.sparkContext.broadcast((model.settings, model.weights.astype(np.int32), model.bias))
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
+        for batch in batches:
+            parts = [model.score(data, off) for _, _, data, off in B.blocks(batch.column(at))]
+            if parts:
+                yield batch.filter(pa.array(np.concatenate(parts) < 0.5))
+
+    return df.mapInArrow(run, df.schema)
