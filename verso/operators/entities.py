@@ -52,7 +52,7 @@ def duplicate_pairs(characters: DataFrame, book: list[str]) -> DataFrame:
     left = rows.select(*book, F.col("char_id").alias("a"), F.col("pos").alias("pos_a"), F.col("norm").alias("norm_a"))
     right = rows.select(*book, F.col("char_id").alias("b"), F.col("pos").alias("pos_b"), F.col("norm").alias("norm_b"))
     inside = (F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a"))) & (F.col("a") != "narrator") & (F.col("b") != "narrator")
-    return left.join(right, book).where((F.col("pos_a") < F.col("pos_b")) & ((F.col("norm_a") == F.col("norm_b")) | inside)).select(*book, "a", "b")
+    return left.join(right, book).where((F.struct("pos_a", "a") < F.struct("pos_b", "b")) & ((F.col("norm_a") == F.col("norm_b")) | inside)).select(*book, "a", "b")
 
 
 def upsert(rows: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

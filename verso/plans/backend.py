@@ -10,7 +10,6 @@ import json
 import re
 import time
 import urllib.request
-from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -83,8 +82,3 @@ def asked(rows: DataFrame, prompt: str, reply: str, backend: Backend, parallel:
 
     return rows.withColumn(reply, call.asNondeterministic()(F.col(prompt)))
 
-
-def batches_of(rows: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    for frame in rows:
-        for at in range(0, len(frame), size):
-            yield frame.iloc[at : at + size]
