@@ -87,3 +87,25 @@ def test_streams_agree_with_batches(spark, sf, tmp_path):
         got, want = spark.table(f"w_{name}"), plan(table)
         assert got.exceptAll(want).count() == 0
         assert (want.count() == got.count()) if mode == "complete" else (0 < got.count() <= want.count())
+
+
+def test_speech(spark):
+    from verso.operators import jobs
+    from verso.plans import speech
+
+    rows = [("b", n, k, "one two three " * (k + 1), "af_heart", 1.0) for n in (1, 2) for k in range(30)]
+    work = spark.createDataFrame(rows, "book string, number int, sub_idx int, text string, voice string, speed double")
+    batches = speech.spoken_batches(work, speech.engine("offline"))
+    assert batches.count() == 2
+    lines = speech.line_sounds(batches).cache()
+    got = {(r["number"], r["sub_idx"]): r["s"] for r in lines.select("number", "sub_idx", sound.wav_seconds("data").alias("s")).collect()}
+    assert len(got) == 60 and all(abs(s - 1.2 * (k + 1)) < 1e-3 for (_, k), s in got.items())
+    chapters = speech.chapter_sounds(lines)
+    said = spark.createDataFrame([("b", 1, sound.silence(0.7))], "book string, number int, data binary")
+    titles = spark.createDataFrame([("b", 1, "x"), ("b", 2, "y")], "book string, number int, title string")
+    timed = speech.timed_chapters(titles, chapters, said, sound.chime())
+    rows = timed.orderBy("number").collect()
+    assert rows[0]["end_ms"] == 800 + 500 + 700 + 1000 + rows[0]["duration_ms"] and rows[1]["start_ms"] == rows[0]["end_ms"] + 3000
+    book = speech.book_sound(timed, chapters, said, sound.chime()).select(sound.wav_seconds("data")).first()[0]
+    assert abs(book * 1000 - (rows[1]["end_ms"] + 3000)) < 2
+    assert jobs.pending(work, lines.withColumn("size", F.length("data")), ["book", "number", "sub_idx"]).count() == 0
