@@ -45,3 +45,25 @@ def test_chats_odd_rows(spark):
     got = {r["conv_id"]: r for r in chats.digests(chats.rendered_messages(chats.events_of_turns(turns.withColumn("seq", F.lit(1)).withColumn("kind", F.lit("edit")))) ).collect()}
     assert got[1]["n_turns"] == 3 and got[None]["loss_chars"] == 9 and got[2]["loss_chars"] == 0
     assert chats.digests(chats.rendered_messages(chats.events_of_turns(turns.limit(0)))).collect() == []
+
+
+STAGES = {
+    "toxicity": lambda df: toxicity.without_toxic(df, df.sparkSession.createDataFrame([], "doc_id long, toxic int")),
+    "near_dups": near_dups.one_of_each_class,
+    "secrets": secrets.masked,
+    "mixing": mixing.mix,
+}
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_keep_columns(spark, name):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    for c in ("row", "secret_all", "secret_base", "mix_copies", "mix_source", "id", "class_id", "score"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = STAGES[name](df)
+    assert got.columns == df.columns
+    rows = got.collect()
+    assert {r["row"] for r in rows} == {"clash"} and {r["secret_all"] for r in rows} == {"clash"}
+    assert STAGES[name](df.limit(0)).collect() == []
+    if name != "mixing":
+        assert {r["doc_id"] for r in rows} == {r[0] for r in ROWS}

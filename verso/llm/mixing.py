@@ -69,8 +69,9 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """The mixed documents: each row of df as often as it is emitted, with df's columns."""
     targets = source_targets(df.select(df[source_col].alias("source"), n_words(df[text_col]).alias("size")))
-    planned = with_copies(df, targets, id_col, source_col, seed)
-    return planned.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int")))).select(*df.columns)
+    whole = df.select(F.struct("*").alias("row"), df[id_col].alias("doc_id"), df[source_col].alias("source"))
+    planned = with_copies(whole, targets, "doc_id", "source", seed).where("mix_copies > 0")
+    return planned.select(F.explode(F.array_repeat("row", F.col("mix_copies").cast("int"))).alias("row")).select("row.*")
 
 
 SQL = rf"""

@@ -140,15 +140,14 @@ def secret_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def masked(df: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """df with each reported span of the text replaced by a mark; overlapping spans are replaced once. A null text stays null."""
-    rows = secret_spans(df)
-    text = F.col(text_col)
+    rows = secret_spans(df.select(F.struct("*").alias("row"), df[text_col].alias("text")))
+    text = F.col("text")
     # Cut points: the start of each span past the furthest end so far, and that end.
     kept = scan(F.col("secret_all"), F.lit(0), lambda s, x: F.greatest(s, x["end"]), lambda s, x: F.struct(s.alias("upto"), x["start"].alias("start")), "struct<upto:int,start:int>")
     last = F.aggregate("secret_all", F.lit(0), lambda s, x: F.greatest(s, x["end"]))
     pieces = F.transform(F.filter(kept, lambda k: k["start"] >= k["upto"]), lambda k: F.concat(F.substring(text, k["upto"] + 1, k["start"] - k["upto"]), F.lit(mark)))
     clean = F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text)))
-    rows = rows.withColumn(text_col, F.when(F.size("secret_all") > 0, clean).otherwise(text))
-    return rows.select(*df.columns)
+    return rows.select(F.col("row").withField(text_col, F.when(F.size("secret_all") > 0, clean).otherwise(text)).alias("row")).select("row.*")
 
 
 def _sql() -> str:
