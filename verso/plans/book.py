@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verso.cluster import stored
+from verso.cluster import ship, stored
 from verso.functions import html, replies, text, voices
 from verso.functions.chunks import chunk_text
 from verso.operators import entities, jobs, select, timeline
@@ -26,6 +26,7 @@ def chapters(items: DataFrame, is_content=select.looks_like_content) -> DataFram
 
 def chapters_of_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Web pages as books: a host is a book, a page an item."""
+    ship(spark)
     items = page_items(spark, folder)
     read = items.select("book", "pos", "filename", F.array_join(html.html_blocks(F.col("html")), "\n\n").alias("text"), html.heading_title(F.col("html")).alias("title"))
     return chapters(read).select("book", "number", "title", "file_name", "filename", F.length("text").alias("n_chars"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,12 @@ LINES = "(SELECT conv_id AS chapter, turn AS line_no, role AS speaker, text FROM
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def shipped(spark: SparkSession, d: str) -> DataFrame:
+            ship(spark)
+            return f(spark, d)
+
+        QUERIES[f.__name__] = shipped
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -82,7 +88,6 @@ def html_blocks_regex(spark, d):
 
 @query()
 def html_to_text_dom(spark, d):
-    ship(spark)
     return table(spark, d, "pages").select("page_id", html.html_to_text("html").alias("text"), html.chapter_title("html").alias("title"))
 
 
@@ -178,7 +183,6 @@ def split_long_text(spark, d):
 
 @query()
 def chunk_text(spark, d):
-    ship(spark)
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunks.chunk_text(F.col("text"))).alias("chunk_no", "chunk"))
 
 
