@@ -40,7 +40,7 @@ class Settings:
     grams: tuple[int, ...] = (3, 4, 5)
     bits: int = 18
     dims: int = 8
-    window: int = 16
+    window: int = 6
     rounds: int = 4
     passes: int = 2  # through the windows of a round, or as many as make `steps` batches
     steps: int = 150
@@ -49,7 +49,7 @@ class Settings:
     damping: float = 1e-3  # the larger, the less an n-gram weighs that few windows hold
     seed: int = 20
     most_toxic: int = 2000
-    most_clean: int = 6000
+    most_clean: int = 5000
     most_chars: int = 20_000
 
 
@@ -173,9 +173,13 @@ def train(texts: list[str | None], labels: list[int], settings: Settings = Setti
         return Model(settings, weights, float(np.log((share + 1e-300) / (1 - share + 1e-300))))
     rng = np.random.default_rng(settings.seed)
     column = pa.array(texts, pa.string())
-    buf, at = _normal(*B.strings(column))
-    start, end, first = _words(buf, at, settings.window)
-    count = np.diff(first)
+    parts, bytes_before, words_before = [], 0, 0
+    for _, _, data, off in B.blocks(column):
+        buf, at = _normal(data, off)
+        start, end, first = _words(buf, at, settings.window)
+        parts.append((buf, start + bytes_before, end + bytes_before, first[:-1] + words_before, np.diff(first)))
+        bytes_before, words_before = bytes_before + len(buf), words_before + len(start)
+    buf, start, end, first, count = (np.concatenate([x[i] for x in parts]) for i in range(5))
     used = np.flatnonzero(count > 0)
     d = settings.dims
     emb = np.zeros((1 << settings.bits, d))
@@ -199,7 +203,7 @@ def train(texts: list[str | None], labels: list[int], settings: Settings = Setti
             order = rng.permutation(len(doc))
             for i in range(0, len(order), settings.batch):
                 o = order[i : i + settings.batch]
-                ids, w, seg = _features(settings, buf, start, end, first[doc[o] + 1], pick[o])
+                ids, w, seg = _features(settings, buf, start, end, first[doc[o]] + count[doc[o]], pick[o])
                 uniq, inv = np.unique(ids, return_inverse=True)
                 rows = emb[uniq]
                 hidden = np.stack([np.bincount(seg, weights=w * rows[inv, j], minlength=len(o)) for j in range(d)], 1)
