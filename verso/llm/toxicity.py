@@ -225,16 +225,16 @@ def train(texts: list[str | None], labels: list[int], settings: Settings = Setti
 
 
 def training_rows(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str | None], list[int]]:
-    """The bounded sample: at most most_toxic and most_clean rows whose crc32(id) mod 5 is not 0. One row of each id is used."""
-    marks = labels.select(labels[id_col].alias("k"), labels[label_col].alias("y")).where("k IS NOT NULL AND y IS NOT NULL AND crc32(cast(k AS string)) % 5 != 0").groupBy("k").agg(F.max("y").alias("y"))
+    """The bounded sample: at most most_toxic and most_clean labelled ids whose crc32 mod 5 is not 0, in the order of a hash.
+
+    Ids are chosen from the labels alone and sent to the scan of the texts (a broadcast of at most as many rows).
+    """
+    marks = labels.select(labels[id_col].alias("k"), labels[label_col].alias("y")).where("k IS NOT NULL AND y IS NOT NULL AND crc32(cast(k AS string)) % 5 != 0").groupBy("k").agg((F.max("y") == 1).cast("int").alias("y"))
+    order = F.xxhash64("k")
+    chosen = marks.where("y = 1").orderBy(order, "k").limit(settings.most_toxic).unionByName(marks.where("y = 0").orderBy(order, "k").limit(settings.most_clean))
     fits = df.select(df[id_col].alias("k"), df[text_col].alias("text")).where(F.length(F.coalesce("text", F.lit(""))) <= settings.most_chars)
-    texts, ys = [], []
-    for label in (0, 1):
-        mine = fits.join(marks.where((F.col("y") == 1) if label else (F.col("y") != 1)), "k")
-        for r in mine.select("k", "text", F.xxhash64("k").alias("h")).orderBy("h", "k", "text").limit(settings.most_toxic if label else settings.most_clean).collect():
-            texts.append(r["text"])
-            ys.append(label)
-    return texts, ys
+    rows = fits.join(F.broadcast(chosen), "k").select("k", "y", "text", order.alias("h")).orderBy("h", "k", "text").limit(settings.most_toxic + settings.most_clean).collect()
+    return [r["text"] for r in rows], [r["y"] for r in rows]
 
 
 def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
