@@ -10,8 +10,8 @@ A word goes if a window of `window` words that covers it also starts in a docume
    its documents, so what a shard compiles is bounded by its own documents' words, and a passage that a third of all documents
    share costs each shard one row. Its automaton (Aho-Corasick) holds the aligned half windows of its passages, one letter
    per word: any window of a passage holds one of them whole.
-4. All regions are streamed through their shard's automaton; each hit fixes an alignment with a passage, and the stretches of
-   at least a window in which all words agree are the occurrences. They are removed from all documents but the owner.
+4. All regions are streamed through their shard's automaton, which locates every occurrence of a half window; the windows around a
+   hit are looked up among the passages' windows by 64-bit hash. Those are removed from all documents but the owner.
 
 Windows are judged on the input. Nothing is collected to the driver; intermediate tables are written to the shared folder.
 
@@ -177,7 +177,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Automaton:
-    """Aho-Corasick automaton over the aligned half windows of passages; a word is one letter."""
+    """Aho-Corasick automaton over the aligned half windows of passages (a word is one letter), and the hashes of the passages' windows with their owners."""
 
     HALF = WINDOW // 2
 
@@ -185,9 +185,9 @@ class Automaton:
         import ahocorasick
 
         self.tree = ahocorasick.Automaton()
-        self.hashes: list[np.ndarray] = []
-        self.owner: list = []
-        self.at: dict[str, list[tuple[int, int]]] = {}
+        self.number: dict = {}
+        self.windows: list[np.ndarray] = []
+        self.owners: list[np.ndarray] = []
         self.compiled = False
 
     @staticmethod
@@ -196,44 +196,40 @@ class Automaton:
         return ((h & np.uint64(0xFFFFF)).astype("<u4") + np.uint32(0x10000)).tobytes().decode("utf-32-le")
 
     def add(self, owner, h: np.ndarray) -> None:
-        number, line = len(self.owner), self.letters(h)
-        self.owner.append(owner)
-        self.hashes.append(h)
+        line = self.letters(h)
         for q in range(0, len(h) - self.HALF + 1, self.HALF):
-            self.at.setdefault(line[q : q + self.HALF], []).append((number, q))
+            self.tree.add_word(line[q : q + self.HALF], 1)
+        keys = B.window_hash(h, WINDOW)
+        self.windows.append(keys)
+        self.owners.append(np.full(len(keys), self.number.setdefault(owner, len(self.number)), np.int32))
 
     def compile(self) -> None:
-        for block, where in self.at.items():
-            self.tree.add_word(block, where)
-        self.at = {}
         self.compiled = True
         if len(self.tree):
             self.tree.make_automaton()
-
-    def occurrences(self, doc, h: np.ndarray) -> list[tuple[int, int]]:
-        """Stretches of words (first, end) of a region that lie in passages of other documents."""
-        if not len(self.tree):
-            return []
-        done, found = set(), []
-        for last, where in self.tree.iter(self.letters(h)):
-            for number, q in where:
-                shift = last - self.HALF + 1 - q
-                if self.owner[number] == doc or (number, shift) in done:
-                    continue
-                done.add((number, shift))
-                p = self.hashes[number]
-                lo, hi = max(0, shift), min(len(h), shift + len(p))
-                for x, y in zip(*runs(h[lo:hi] == p[lo - shift : hi - shift])):
-                    if y - x >= WINDOW:
-                        found.append((int(lo + x), int(lo + y)))
-        found.sort()
-        out: list[tuple[int, int]] = []
-        for x, y in found:
-            if out and x <= out[-1][1]:
-                out[-1] = (out[-1][0], max(y, out[-1][1]))
-            else:
-                out.append((x, y))
-        return out
+            keys, owners = np.concatenate(self.windows), np.concatenate(self.owners)
+            order = np.argsort(keys)
+            self.keys, self.owner = keys[order], owners[order]
+        self.windows, self.owners = [], []
+
+    def occurrences(self, doc, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end words of the stretches of a region that lie in passages of other documents.
+
+        A window of a passage holds an aligned half window whole, so only windows around hits are looked up; a window has one owner.
+        """
+        m = len(h) - WINDOW + 1
+        last = np.fromiter((at for at, _ in self.tree.iter(self.letters(h))), np.int64) if m > 0 and len(self.tree) else np.zeros(0, np.int64)
+        if not len(last):
+            return last, last
+        edge = np.zeros(m + 1, np.int64)
+        np.add.at(edge, np.clip(last - WINDOW + 1, 0, m), 1)
+        np.add.at(edge, np.clip(last - self.HALF + 2, 0, m), -1)
+        near = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        keys = B.window_hash(h, WINDOW)[near]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = np.zeros(m, bool)
+        hit[near] = (self.keys[at] == keys) & (self.owner[at] != self.number.get(doc, -1))
+        return runs(B.covered(hit, WINDOW, len(h)))
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +250,7 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 if not machine.compiled:
                     machine.compile()
-                rows += [(i, starts[i] + x, starts[i] + y) for x, y in machine.occurrences(ids[i], own)]
+                rows += [(i, starts[i] + x, starts[i] + y) for x, y in zip(*(v.tolist() for v in machine.occurrences(ids[i], own)))]
         if rows:
             take = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(2).take(take), batch.column(3).take(take), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "th", "first", "end"])
