@@ -36,7 +36,7 @@ from verso.llm import bytes_np as B
 WINDOW = 50
 ANCHOR = 20
 PIECE = 1000  # words of a passage in one row, but for the overlap
-SHARD_WORDS = 400_000  # words of regions in a shard, about
+SHARD_WORDS = 2_000_000  # words of regions in a shard, about: 200 MB in a worker at most; the larger, the fewer copies of a common passage
 
 
 def joined(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
