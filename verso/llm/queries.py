@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verso.llm import audio, bpe, chats, mixing, near_dups, quality_rules, secrets, substring_dedup, toxicity
+from verso.llm import audio, bpe, chats, mixing, near_dups, quality_classifier, quality_rules, secrets, substring_dedup, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -25,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_mixing": op5_mixing,
     "op6_secret_scan": op6_secret_scan,
