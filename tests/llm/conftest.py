@@ -4,6 +4,14 @@ import duckdb
 import pytest
 
 
+def doubled(a, b, joint=" ", steps=11):
+    """Two texts of 2**steps symbols that collide under every polynomial hash modulo 2**64."""
+    one, two = [a], [b]
+    for _ in range(steps):
+        one, two = one + two, two + one
+    return joint.join(one), joint.join(two)
+
+
 @pytest.fixture(scope="session")
 def con(sf):
     c = duckdb.connect()

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from verso.cluster import ship, small_batches
+from verso.cluster import ship
 from verso.llm import bytes_np as B
 
 #: Fragments that a worker keeps; past this the table starts anew.
@@ -156,17 +156,11 @@ class Codec:
         at = self.boundaries(data, off)
         if not len(at):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        ends = np.append(at[1:], len(data))
-        # Equal fragments of the block, by a rolling hash, are looked up once.
-        key = B.span_hash(B.prefix(data), at, ends)
-        order = np.argsort(key)
-        new = np.ones(len(key), bool)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        kind = np.empty(len(key), np.int64)
-        kind[order] = np.cumsum(new) - 1
-        one = order[new]
-        raw, get, encode = data.tobytes(), self.table.get, self._encode
-        parts = [get(f) or encode(f) for f in [raw[a:b] for a, b in zip(at[one].tolist(), ends[one].tolist())]]
+        # Equal fragments of the block, by their bytes, are looked up once.
+        kept = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        kind = kept.indices.to_numpy()
+        get, encode = self.table.get, self._encode
+        parts = [get(f) or encode(f) for f in kept.dictionary.to_pylist()]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         known = np.frombuffer(b"".join(parts), np.uint32)
         begin = (np.cumsum(size) - size)[kind]
@@ -198,7 +192,6 @@ def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     vocabulary: path of the file, the same on every machine.
     """
     ship(df.sparkSession)
-    small_batches(df.sparkSession)
     source = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ Every function works on all texts of a block at once, so no Python code runs per
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +20,11 @@ BASE = 0x9E3779B97F4A7C55
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers: dict[str, np.ndarray] = {}
-
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 256
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
-def byte_values() -> np.ndarray:
-    """A fixed 64-bit value for each byte value."""
-    if "bytes" not in _powers:
-        _powers["bytes"] = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
-    return _powers["bytes"]
+_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,22 +83,64 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(start, off)
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of the rolling hash: n + 1 values."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(byte_values()[data] * up[: len(data)], out=out[1:])
-    return out
-
-
-def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span, wherever it lies."""
-    _, down = powers(len(pre))
-    return mix((pre[end] - pre[start]) * down[start] + (end - start).astype(U64))
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zeros after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1), writeable=False)
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span, wherever it lies: eight bytes at a time, each step mixed; long spans by BLAKE2."""
+    size = end - start
+    eight = _eights(data)
+    h = size.astype(U64)
+    todo, at = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(todo):
+        left = np.minimum(size[todo] - at, 8)
+        part = np.ascontiguousarray(eight[start[todo] + at]).view("<u8").ravel() & _MASKS[left]
+        h[todo] = mix(h[todo] * U64(BASE) + mix(part + U64(at + 1)))
+        at += 8
+        todo = todo[size[todo] > at]
+    for i in np.flatnonzero(size > LONG_SPAN):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(h)
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether each span has the bytes of the other span at its place."""
+    same = end - start == other_end - other_start
+    for i in np.flatnonzero(same & (end - start > LONG_SPAN)):
+        same[i] = np.array_equal(data[start[i] : end[i]], data[other_start[i] : other_end[i]])
+    todo, at = np.flatnonzero(same & (end > start) & (end - start <= LONG_SPAN)), 0
+    eight = _eights(data)
+    while len(todo):
+        mask = _MASKS[np.minimum(end[todo] - start[todo] - at, 8)]
+        one, two = (np.ascontiguousarray(eight[s[todo] + at]).view("<u8").ravel() & mask for s in (start, other_start))
+        same[todo[one != two]] = False
+        at += 8
+        todo = todo[(one == two) & (end[todo] - start[todo] > at)]
+    return same
+
+
+def dictionary(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The number of each span's bytes among the different ones, which follow. Bytes are compared, not only hashes. Spans don't overlap."""
+    if not len(start):
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary())
+    off = np.empty(2 * len(start), np.int64)
+    off[0::2], off[1::2] = start, end
+    kept = pa.Array.from_buffers(pa.large_binary(), 2 * len(start) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = kept.take(pa.array(np.arange(0, len(kept), 2))).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
 def window_hash(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each n consecutive values of h: len(h) - n + 1 values (windows may cross texts; see `inside`)."""
+    """Rolling hash of each n consecutive values of h: len(h) - n + 1 values (windows may cross texts; see `inside`).
+
+    It is a polynomial modulo 2**64, whose known collisions need windows of a thousand values and more: n is at most 100.
+    """
+    if n > 100:
+        raise ValueError("windows of more than 100 words")
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, U64)
@@ -124,15 +164,11 @@ def owners(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def repeated(keys: np.ndarray) -> np.ndarray:
-    """Which values occur more than once."""
-    order = np.argsort(keys)
-    s = keys[order]
-    same = s[1:] == s[:-1]
-    hit = np.zeros(len(keys), bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    return hit
+def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values that occur again, next to each other by value and in order: a place, and the next place of the same value."""
+    order = np.argsort(keys, kind="stable")
+    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    return order[same], order[same + 1]
 
 
 def covered(hit: np.ndarray, n: int, total: int) -> np.ndarray:
@@ -142,3 +178,20 @@ def covered(hit: np.ndarray, n: int, total: int) -> np.ndarray:
     edge[at] += 1
     edge[at + n] -= 1
     return np.cumsum(edge[:-1]) > 0
+
+
+def joined(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kept words of each text joined by one blank: bytes and offsets."""
+    of = owners(first)
+    kept = np.flatnonzero(keep)
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start[kept]] += 1
+    edge[end[kept]] -= 1
+    take = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    follows = kept[1:][of[kept[1:]] == of[kept[:-1]]]
+    blank = start[follows] - 1
+    out = data.copy()
+    out[blank] = 0x20
+    take[blank] = True
+    upto = np.concatenate([[0], np.cumsum(take)])
+    return out[take], upto[off]

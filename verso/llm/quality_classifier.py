@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verso.cluster import ship, small_batches, stored
+from verso.cluster import ship, stored
 from verso.llm import bytes_np as B
 
 U64 = np.uint64
@@ -65,7 +65,7 @@ def features(data: np.ndarray, off: np.ndarray, buckets: int) -> tuple[np.ndarra
     start, end = start[full], end[full]
     first = np.searchsorted(start, off)
     of = B.owners(first)
-    h = B.span_hash(B.prefix(low), start, end)
+    h = B.span_hash(low, start, end)
     two = np.flatnonzero(B.inside(first, 2, max(0, len(h) - 1)))
     key = np.concatenate([h, B.window_hash(h, 2)[two]])
     return np.concatenate([of, of[two]]), ((key >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
@@ -74,7 +74,6 @@ def features(data: np.ndarray, off: np.ndarray, buckets: int) -> tuple[np.ndarra
 def bucket_counts(texts: DataFrame, settings: Settings = Settings()) -> np.ndarray:
     """texts: one column. How often each bucket occurs in all of them; each task counts its texts, counts are summed in parts."""
     ship(texts.sparkSession)
-    small_batches(texts.sparkSession)
     size = -(-settings.buckets // _PARTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +119,6 @@ def log_importance(df: DataFrame, weights: np.ndarray, settings: Settings = Sett
     """Per row: doc_id, held_out, log_weight, key (fixed-point log_weight with Gumbel noise)."""
     spark = df.sparkSession
     ship(spark)
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(weights)  # 80 KB
     source = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
     seed = F.lit(settings.seed)

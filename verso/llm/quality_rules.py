@@ -1,7 +1,7 @@
 """Repetition coverage: how many characters of a text lie inside duplicated n-grams and lines.
 
 Rolling 64-bit hashes of words, word n-grams and lines are made in numpy for a block of whole texts at once; an n-gram or
-line is duplicated if its hash occurs again in the same text. One scan, no shuffle; memory is bounded by a block
+line is duplicated if its hash occurs again in the same text and its words or bytes, which are then compared, are the same. One scan, no shuffle; memory is bounded by a block
 (`bytes_np.BLOCK_BYTES`, or one text that is longer) and nothing of a text is left out.
 
 Edge cases: a null text counts as empty (no words, base_failed, not kept); rows with equal or null ids each give a row; an
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from verso.cluster import ship, small_batches
+from verso.cluster import ship
 from verso.llm import bytes_np as B
 
 _SYMBOL = np.zeros(256, bool)
@@ -43,7 +43,6 @@ def measure(data: np.ndarray, off: np.ndarray, rules: Rules) -> dict[str, np.nda
     np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
     chars = lead[end] - lead[start]
     total = lambda v, of: np.bincount(of, weights=v, minlength=n).astype(np.int64)
-    pre = B.prefix(data)
     salt = B.mix(np.arange(1, n + 1, dtype=np.uint64))
     out = {"n_words": np.diff(first), "word_chars": total(chars, word_of)}
     symbols = np.zeros(len(data) + 1, np.int64)
@@ -58,21 +57,39 @@ def measure(data: np.ndarray, off: np.ndarray, rules: Rules) -> dict[str, np.nda
     full = np.searchsorted(start, line_end) > words_at
     line_start, line_end = line_start[full], line_end[full]
     line_of = word_of[words_at[full]] if len(word_of) else np.zeros(0, np.int64)
-    key = B.span_hash(pre, line_start, line_end) ^ salt[line_of]
-    order = np.argsort(key, kind="stable")
-    again = np.zeros(len(key), bool)
-    again[order[1:]] = key[order[1:]] == key[order[:-1]]
+    one, two = B.repeated(B.span_hash(data, line_start, line_end) ^ salt[line_of])
+    again = np.zeros(len(line_of), bool)
+    if (B.same_bytes(data, line_start[one], line_end[one], line_start[two], line_end[two]) & (line_of[one] == line_of[two])).all():
+        again[two] = True
+    else:
+        seen: set[tuple[int, bytes]] = set()
+        for i, line in enumerate(zip(line_of.tolist(), (data[x:y].tobytes() for x, y in zip(line_start, line_end)))):
+            again[i] = line in seen
+            seen.add(line)
     out["n_dup_lines"] = total(again, line_of)
     upto = np.concatenate([[0], np.cumsum(chars)])
     in_line = upto[np.searchsorted(start, line_end)] - upto[np.searchsorted(start, line_start)]
     out["dup_line_chars"] = total(in_line * again, line_of)
 
-    h = B.span_hash(pre, start, end)
-    for size, _ in rules.gram_percent:
+    h = B.span_hash(data, start, end)
+    number = None
+    for size, _ in sorted(rules.gram_percent):
         m = max(0, len(h) - size + 1)
-        at = np.flatnonzero(B.inside(first, size, m))
+        at = np.flatnonzero(B.inside(first, size, m)) if number is None else candidates[B.inside(first, size, m)[candidates[candidates < m]].nonzero()[0]]
+        key = B.window_hash(h, size)[at] ^ salt[word_of[at]]
+        one, two = (at[i] for i in B.repeated(key))
         hit = np.zeros(m, bool)
-        hit[at] = B.repeated(B.window_hash(h, size)[at] ^ salt[word_of[at]])
+        hit[one] = hit[two] = True
+        if number is None:  # equal n-grams have equal hashes, so longer ones that recur lie among these words
+            candidates = np.flatnonzero(hit)
+            number = np.full(len(h), -1)
+            words = np.flatnonzero(B.covered(hit, size, len(h)))
+            number[words], _ = B.dictionary(data, start[words], end[words])
+        if not ((word_of[one] == word_of[two]).all() and all((number[one + k] == number[two + k]).all() for k in range(size))):
+            rows = np.column_stack([word_of[at], *(number[at + k] for k in range(size))])
+            _, kind, count = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+            hit[:] = False
+            hit[at[(count[kind.ravel()] > 1) & (rows[:, 1:] >= 0).all(1)]] = True
         inside = B.covered(hit, size, len(h))
         if size == 5:
             out["n_repeat_words"] = total(inside, word_of)
@@ -93,7 +110,6 @@ def repetition_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if 5 not in dict(rules.gram_percent):
         raise ValueError("the base rule needs n-grams of 5 words")
     ship(df.sparkSession)
-    small_batches(df.sparkSession)
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     more = ["dup_line_chars", *(f"dup_chars_{n}" for n, _ in rules.gram_percent)]
     source = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verso.cluster import ship, small_batches, stored
+from verso.cluster import ship, stored
 from verso.llm import bytes_np as B
 
 WINDOW = 50
@@ -39,23 +39,6 @@ PIECE = 1000  # words of a passage in one row, but for the overlap
 SHARD_WORDS = 2_000_000  # words of regions in a shard, about: 200 MB in a worker at most; the larger, the fewer copies of a common passage
 
 
-def joined(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The kept words of each text joined by one blank: bytes and offsets."""
-    of = B.owners(first)
-    kept = np.flatnonzero(keep)
-    edge = np.zeros(len(data) + 1, np.int8)
-    edge[start[kept]] += 1
-    edge[end[kept]] -= 1
-    take = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
-    follows = kept[1:][of[kept[1:]] == of[kept[:-1]]]
-    blank = start[follows] - 1
-    out = data.copy()
-    out[blank] = 0x20
-    take[blank] = True
-    upto = np.concatenate([[0], np.cumsum(take)])
-    return out[take], upto[off]
-
-
 def sliding_min(g: np.ndarray, width: int) -> np.ndarray:
     """Least of each `width` consecutive values."""
     have = 1
@@ -80,7 +63,7 @@ def runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     start, end, first = B.words(data, off)
-    return start, end, first, B.span_hash(B.prefix(data), start, end)
+    return start, end, first, B.span_hash(data, start, end)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +71,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, off in B.blocks(batch.column(2)):
             start, end, first, h = _hashed(data, off)
-            text, at = joined(data, off, start, end, first, np.ones(len(start), bool))
+            text, at = B.joined(data, off, start, end, first, np.ones(len(start), bool))
             least, ok = anchors(h, first)
             of = B.owners(first)[: len(least)][ok]
             mine = least[ok]
@@ -122,7 +105,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(lo):
                 continue
             # Windows of two texts never touch: the last windows of a text are not ok.
-            text, at = joined(data, off, start, end, first, np.ones(len(start), bool))
+            text, at = B.joined(data, off, start, end, first, np.ones(len(start), bool))
             size = end - start
             begin = np.cumsum(size + 1) - (size + 1)  # if all words stood in one line with blanks
             begin = begin - begin[np.minimum(first[:-1], len(begin) - 1)][of] + at[:-1][of]
@@ -269,7 +252,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(edge, np.asarray(flat.field(0)) + base, 1)
             np.add.at(edge, np.asarray(flat.field(1)) + base, -1)
             gone = np.cumsum(edge[:-1]) > 0
-            text, at = joined(data, off, start, end, first, ~gone)
+            text, at = B.joined(data, off, start, end, first, ~gone)
             raw = text.tobytes()
             n_removed = np.bincount(B.owners(first), weights=gone, minlength=b - a).astype(np.int64)
             kept = pa.array([raw[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()).cast(pa.string())
@@ -280,7 +263,6 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(scanned, spans): per row (doc_id, th, n_words, whole), and the stretches (doc_id, th, first, end) of words to remove. th: hash of the text."""
     spark = df.sparkSession
     ship(spark)
-    small_batches(spark)
     docs = df.select(df[id_col].alias("doc_id"), F.xxhash64(F.coalesce(df[text_col], F.lit(""))).alias("th"), df[text_col].alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scanned = stored(docs.mapInArrow(_scan, f"doc_id {kind}, th long, n_words long, whole string, anchors array<long>"))

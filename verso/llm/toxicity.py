@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verso.cluster import ship, small_batches
+from verso.cluster import ship
 from verso.llm import bytes_np as B
 
 _WORD = np.zeros(256, bool)
@@ -72,7 +72,7 @@ def _words(buf: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np
     full = buf != 0x20
     edge = np.diff(full.view(np.int8))
     start, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
-    key = B.span_hash(B.prefix(buf), start, end) ^ B.mix(np.searchsorted(at, start, "right").astype(np.uint64))
+    key = B.span_hash(buf, start, end) ^ B.mix(np.searchsorted(at, start, "right").astype(np.uint64))
     order = np.argsort(key, kind="stable")
     near = (key[order[1:]] == key[order[:-1]]) & (order[1:] - order[:-1] < window)
     keep = np.ones(len(start), bool)
@@ -241,7 +241,6 @@ def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     """Per row: id, held_out (crc32 of the id as text mod 5 is 0; false for a null id), score, predicted."""
     spark = df.sparkSession
     ship(spark)
-    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.settings, model.weights.astype(np.int32), model.bias))  # 1 MB at 18 bits
     source = df.select(df[id_col].alias("doc_id"), F.coalesce(F.crc32(df[id_col].cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), df[text_col].alias("text"))
 
@@ -266,7 +265,6 @@ def without_toxic(df: DataFrame, labels: DataFrame, settings: Settings = Setting
     """The rows of df whose text isn't predicted toxic, with df's columns. One scan: the text is scored where it is read."""
     spark = df.sparkSession
     ship(spark)
-    small_batches(spark)
     model = train(*training_rows(df, labels, settings, id_col, text_col), settings)
     shared = spark.sparkContext.broadcast((model.settings, model.weights.astype(np.int32), model.bias))
     at = df.columns.index(text_col)
