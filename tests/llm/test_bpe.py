@@ -6,6 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import public_tokenizers
+from tests.llm.conftest import doubled
 from verso.llm import bytes_np as B
 from verso.llm.bpe import Codec
 
@@ -59,3 +60,11 @@ def test_the_table_is_bounded(codec, monkeypatch):
     texts = ["one two three four five six", "seven eight nine one two"]
     ids, back = run(codec, texts)
     assert back == texts and len(codec.table) <= 3
+
+
+@pytest.mark.parametrize("pair", ["ab", "in", "01", "=-"])
+def test_texts_that_polynomial_hashes_confuse(codec, pair):
+    texts = list(doubled(*pair, joint=""))
+    library = Tokenizer.from_file(PATH)
+    ids, back = run(codec, texts)
+    assert ids == [library.encode(t, add_special_tokens=False).ids for t in texts] and back == texts

@@ -16,7 +16,7 @@ from verso.llm import queries
 def bag(text, buckets):
     low = re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), text or "")
     tokens = re.findall(r"[A-Za-z0-9_\x80-\U0010FFFF]+|[^A-Za-z0-9_\x80-\U0010FFFF\x20\x09-\x0D]+", low)
-    one = [int(B.span_hash(B.prefix(d), np.array([0]), np.array([len(d)]))[0]) for d in (np.frombuffer(t.encode(), np.uint8) for t in tokens)]
+    one = [int(B.span_hash(d, np.array([0]), np.array([len(d)]))[0]) for d in (np.frombuffer(t.encode(), np.uint8) for t in tokens)]
     two = [int(B.window_hash(np.array(p, np.uint64), 2)[0]) for p in zip(one, one[1:])]
     return Counter((h >> 32) * buckets >> 32 for h in one + two)
 

@@ -145,11 +145,11 @@ def features(samples: bytes) -> tuple[bytes, int, int]:
     return sink.getvalue().to_pybytes(), len(a), len(mel)
 
 
-def audio_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
-    """Per row: id, sizes and digests of payload and stored form, the feature string; with keep also media and tensors."""
+def audio_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", media: bool = True) -> DataFrame:
+    """Per row: id, sizes and digests of payload and stored form, the feature string, the Arrow stream of its segments' tensors and time spans; with media also the stored form."""
     ship(df.sparkSession)
     source = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media", "tensors"] * keep
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["tensors"] + ["media"] * media
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,15 +157,15 @@ def audio_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows = []
                 for x, y in zip(off[:-1], off[1:]):
                     raw = data[x:y].tobytes()
-                    media = to_wav(raw + b"\xff" * (-len(raw) % UNIT if raw else UNIT))
-                    _, back = from_wav(media)
+                    stored = to_wav(raw + b"\xff" * (-len(raw) % UNIT if raw else UNIT))
+                    _, back = from_wav(stored)
                     tensors, n, frames = features(back)
                     feature = f"{n}:{frames}:{hashlib.sha256(tensors).hexdigest()}"
-                    rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, media, tensors))
+                    rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, tensors, stored))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
                 cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds[: len(names) - 1])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *cols], names)
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary, tensors binary" * keep
+    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", tensors binary" + ", media binary" * media
     return source.mapInArrow(run, schema)

@@ -90,11 +90,11 @@ def _eights(data: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1), writeable=False)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span, wherever it lies: eight bytes at a time, each step mixed; long spans by BLAKE2."""
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes of each span, wherever it lies: eight bytes at a time, each step mixed; long spans by BLAKE2. Each seed has its own."""
     size = end - start
     eight = _eights(data)
-    h = size.astype(U64)
+    h = size.astype(U64) + U64(seed * BASE % (1 << 64))
     todo, at = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
     while len(todo):
         left = np.minimum(size[todo] - at, 8)
@@ -103,7 +103,7 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
         at += 8
         todo = todo[size[todo] > at]
     for i in np.flatnonzero(size > LONG_SPAN):
-        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([seed])).digest(), "little")
     return mix(h)
 
 

@@ -136,8 +136,17 @@ def digests(messages: DataFrame) -> DataFrame:
 
 
 def events_of_turns(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log: one `message` event per row."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.col("turn").alias("message_id"), "role", "text")
+    """A table of finished turns (conv_id, turn, role, text) as the log of their making: each turn is a message of its own.
+
+    It starts with a third of its text and a wrong draft; it is regenerated, streamed again with an error, edited, and its last
+    third comes as a delta. A sequence is the turn and the step in it.
+    """
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("message_id"))
+    third = F.floor(F.length("text") / 3).cast("int")
+    a, b, c = F.substring("text", F.lit(1), third), F.substring("text", third + 1, third), F.substring("text", third * 2 + 1, F.length("text"))
+    steps = [("message", a), ("delta", F.lit(" a wrong <draft>")), ("regenerate", F.lit("")), ("delta", a), ("delta", F.lit(" an error")), ("edit", F.concat(a, b)), ("delta", c)]
+    log = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(kind).alias("kind"), text.alias("text")) for i, (kind, text) in enumerate(steps)))
+    return rows.select("conv_id", "turn", "message_id", "role", F.explode(log).alias("x")).select("conv_id", F.struct("turn", "x.step").alias("seq"), "x.kind", "message_id", "role", "x.text")
 
 
 def _sql() -> str:

@@ -15,6 +15,8 @@ ids draw alike; a source or a total of size 0 has target 0 and gives nothing; an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -38,8 +40,9 @@ def source_targets(sizes: DataFrame, weights: int = 3, most: int = MOST) -> Data
     per = per.withColumn("weight", (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % weights + 1)
     per = per.withColumns({"total": F.sum("source_size").over(everything).cast(whole), "all_weight": F.sum("weight").over(everything).cast(whole)})
     per = per.withColumn("stop", (F.col("source_size") * most).cast(whole))
-    # limit / weight in whole numbers, for weights up to 3
-    order = W.orderBy(F.col("stop") * (F.lit(6) / F.col("weight")).cast("int"), F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    # limit / weight in whole numbers: all weights divide `even`
+    even = math.lcm(*range(1, weights + 1))
+    order = W.orderBy(F.col("stop") * (F.lit(even) / F.col("weight")).cast(whole), F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
     per = per.withColumns({"gone": F.coalesce(F.sum("stop").over(order), F.lit(0)).cast(whole), "gone_weight": F.coalesce(F.sum("weight").over(order), F.lit(0)).cast(whole)})
     per = per.withColumn("stops", (F.col("total") - F.col("gone")) * F.col("weight") > F.col("stop") * (F.col("all_weight") - F.col("gone_weight")))
     rest = F.col("total") - F.sum(F.when(F.col("stops"), F.col("stop")).otherwise(0)).over(everything)

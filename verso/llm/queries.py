@@ -42,7 +42,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.audio_columns(_table(spark, sf_dir, "documents"), keep=False)
+    return audio.audio_columns(_table(spark, sf_dir, "documents"), media=False)
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,11 @@ PART_OF = {"assign": "secret", "access": "access", "hex": "secret", "weak_access
 _SPAN = "struct<start:int,end:int,rank:int,good:boolean>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once per row: an expression that a lambda holds is else computed at each call."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def scan(items: Column, zero: Column, state: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
     """Running fold of an array: out(state before, item) for each item. kind: type of the results.
 
@@ -48,36 +53,48 @@ def scan(items: Column, zero: Column, state: Callable[[Column, Column], Column],
     """
     none = F.array().cast(f"array<{kind}>")
 
-    def within(acc: Column, part: Column) -> Column:
-        return F.aggregate(part, F.struct(acc["s"].alias("s"), none.alias("o")), lambda b, x: F.struct(state(b["s"], x).alias("s"), F.concat(b["o"], F.array(out(b["s"], x))).alias("o")))
+    def within(s: Column, part: Column) -> Column:
+        return F.aggregate(part, F.struct(s.alias("s"), none.alias("o")), lambda b, x: F.struct(state(b["s"], x).alias("s"), F.concat(b["o"], F.array(out(b["s"], x))).alias("o")))
 
-    def step(acc: Column, at: Column) -> Column:
-        done = within(acc, F.slice(items, at + 1, F.lit(PART)))
-        return F.struct(done["s"].alias("s"), F.concat(acc["o"], done["o"]).alias("o"))
+    def folded(rows: Column) -> Column:
+        starts = F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1, F.lit(PART))).otherwise(F.array().cast("array<int>"))
+        part = lambda at: F.slice(rows, at + 1, F.lit(PART))
+        # The state at each part's start, then each part by itself: parts are joined once.
+        entry = lambda at, s: F.struct(at.alias("at"), s.alias("s"))
+        states = F.aggregate(
+            starts, F.struct(zero.alias("s"), F.array(entry(F.lit(0), zero)).alias("o")),
+            lambda acc, at: let(F.aggregate(part(at), acc["s"], state), lambda s: F.struct(s.alias("s"), F.concat(acc["o"], F.array(entry(at + PART, s))).alias("o"))),
+        )["o"]
+        return F.flatten(F.transform(F.slice(states, 1, F.size(starts)), lambda e: within(e["s"], part(e["at"]))["o"]))
 
-    starts = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1, F.lit(PART))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(starts, F.struct(zero.alias("s"), none.alias("o")), step)["o"]
+    return let(items, folded)
 
 
 def _spans(text: Column, kind: str) -> Column:
     """All matches of a kind's pattern as structs (start, end, rank, good): text between matches and matches themselves, alternately."""
     pattern = BASE[kind][0] if kind in BASE else WEAK[kind]
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    if kind == "assign":
-        good = F.transform(F.regexp_extract_all(text, F.lit(_ASSIGN_VALUE), F.lit(1)), lambda x: F.length(x) >= 8)
-    elif kind == "weak_secret":
-        good = F.transform(found, lambda x: x.rlike("[0-9]") & x.rlike("[A-Z]") & x.rlike("[a-z]"))
-    else:
-        good = F.transform(found, lambda x: F.length(x) >= BASE.get(kind, ("", 0))[1])
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    items = F.zip_with(F.slice(between, 1, F.size(found)), F.arrays_zip(found.alias("m"), good.alias("g")), lambda gap, x: F.struct(gap.alias("gap"), F.length(x["m"]).alias("len"), x["g"].alias("good")))
+    none = F.array().cast(f"array<{_SPAN}>")
     rank = F.lit(KINDS.index(kind))
-    placed = scan(
-        items, F.lit(0), lambda s, x: s + x["gap"] + x["len"],
-        lambda s, x: F.struct((s + x["gap"]).alias("start"), (s + x["gap"] + x["len"]).alias("end"), rank.alias("rank"), x["good"].alias("good")), _SPAN,
-    )
-    placed = F.filter(placed, lambda x: x["good"])
-    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+    def good(m: Column) -> Column:
+        if kind == "assign":
+            return F.length(F.regexp_extract(m, _ASSIGN_VALUE, 1)) >= 8
+        if kind == "weak_secret":
+            return m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")
+        return F.length(m) >= BASE.get(kind, ("", 0))[1]
+
+    def placed(x: Column) -> Column:
+        items = F.zip_with(F.slice(x["gaps"], 1, F.size(x["found"])), x["found"], lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"), good(m).alias("good")))
+        return scan(
+            items, F.lit(0), lambda s, x: s + x["gap"] + x["len"],
+            lambda s, x: F.struct((s + x["gap"]).alias("start"), (s + x["gap"] + x["len"]).alias("end"), rank.alias("rank"), x["good"].alias("good")), _SPAN,
+        )
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    # A cheap test of fixed letters first, where a pattern has some.
+    letters = {"access": text.contains("AKIA"), "weak_access": text.contains("AKIA") | text.contains("ASIA"), "weak_endpoint": text.contains("://")}.get(kind)
+    may = text.rlike(pattern) if letters is None else letters & text.rlike(pattern)
+    return F.when(may, F.filter(let(both, placed), lambda x: x["good"])).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:

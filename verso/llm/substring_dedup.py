@@ -3,15 +3,17 @@
 A word goes if a window of `window` words that covers it also starts in a document with a smaller id.
 
 1. Every window of a text keeps the least hash of its word n-grams as its anchor; equal windows have equal anchors. A text has few
-   anchors, about one for fifteen words; those of two documents or more mark the regions that may recur.
-2. The windows of those regions (of one region for all copies of it) are counted by hash. Windows of two documents or more are
-   confirmed; the document with the least id owns them, and its consecutive ones form a recurring passage.
+   anchors, about one for fifteen words; those of two documents or more mark the regions that may recur. A text without a
+   recurring anchor holds no recurring window, so it isn't moved.
+2. The windows of those regions (of one region for all copies of it) are counted by two hashes of 64 bits. Windows of two documents
+   or more are confirmed; the document with the least id owns them, and its consecutive ones form a recurring passage.
 3. Documents are dealt into shards by a hash of their id. A shard gets each passage once that has an anchor in common with one of
    its documents, so what a shard compiles is bounded by its own documents' words, and a passage that a third of all documents
-   share costs each shard one row. Its automaton (Aho-Corasick) holds the aligned half windows of its passages, one letter
-   per word: any window of a passage holds one of them whole.
-4. All regions are streamed through their shard's automaton, which locates every occurrence of a half window; the windows around a
-   hit are looked up among the passages' windows by 64-bit hash. Those are removed from all documents but the owner.
+   share costs each shard one row.
+4. A shard numbers the words of its passages and compiles them into an Aho-Corasick automaton: a pattern is the first `PATTERN` words of
+   each aligned half window, and any window of a passage holds an aligned half whole. All regions are streamed through it. Where
+   it hits, windows are looked up among the passages' windows and compared with them word by word; those that are equal are
+   removed from all documents but the owner.
 
 Windows are judged on the input. Nothing is collected to the driver; intermediate tables are written to the shared folder.
 
@@ -30,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verso.cluster import ship, stored
+from verso.cluster import dropped, ship, stored
 from verso.llm import bytes_np as B
 
 WINDOW = 50
 ANCHOR = 20
-PIECE = 1000  # words of a passage in one row, but for the overlap
-SHARD_WORDS = 2_000_000  # words of regions in a shard, about: 200 MB in a worker at most; the larger, the fewer copies of a common passage
+PIECE = 400  # words of a passage in one row, but for the overlap
+SHARD_WORDS = 500_000  # words of regions in a shard, about; the larger, the fewer copies of a common passage and the more memory
 
 
 def sliding_min(g: np.ndarray, width: int) -> np.ndarray:
@@ -124,15 +126,15 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, th, start, last_doc, text -> doc_id, th, start, last_doc, pos, hash of each window."""
+    """doc_id, th, start, last_doc, text -> doc_id, th, start, last_doc, pos, two hashes of each window."""
     for batch in batches:
         for a, b, data, off in B.blocks(batch.column(4)):
-            _, _, first, h = _hashed(data, off)
+            begin, end, first, h = _hashed(data, off)
             pos = np.flatnonzero(B.inside(first, WINDOW, max(0, len(h) - WINDOW + 1)))
-            key = B.window_hash(h, WINDOW)[pos]
+            keys = [pa.array(B.window_hash(x, WINDOW)[pos].view(np.int64)) for x in (h, B.span_hash(data, begin, end, 1))]
             owner = B.owners(first)[pos]
             take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a).take(take) for i in range(4)), pa.array(pos - first[owner], pa.int64()), pa.array(key.view(np.int64))], ["doc_id", "th", "start", "last_doc", "pos", "hash"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a).take(take) for i in range(4)), pa.array(pos - first[owner], pa.int64()), *keys], ["doc_id", "th", "start", "last_doc", "pos", "hash", "hash2"])
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,83 +162,122 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Automaton:
-    """Aho-Corasick automaton over the aligned half windows of passages (a word is one letter), and the hashes of the passages' windows with their owners."""
+    """What a shard compiles: its passages' words as numbers, an Aho-Corasick automaton of patterns from them, and a table of their windows by hash."""
 
     HALF = WINDOW // 2
+    PATTERN = 10
 
     def __init__(self) -> None:
         import ahocorasick
 
         self.tree = ahocorasick.Automaton()
-        self.number: dict = {}
-        self.windows: list[np.ndarray] = []
-        self.owners: list[np.ndarray] = []
+        self.number: dict[bytes, int] = {}
+        self.documents: dict = {}
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.compiled = False
 
     @staticmethod
-    def letters(h: np.ndarray) -> str:
-        """Twenty bits of each word's hash as a letter outside the basic plane."""
-        return ((h & np.uint64(0xFFFFF)).astype("<u4") + np.uint32(0x10000)).tobytes().decode("utf-32-le")
-
-    def add(self, owner, h: np.ndarray) -> None:
-        line = self.letters(h)
-        for q in range(0, len(h) - self.HALF + 1, self.HALF):
-            self.tree.add_word(line[q : q + self.HALF], 1)
-        keys = B.window_hash(h, WINDOW)
-        self.windows.append(keys)
-        self.owners.append(np.full(len(keys), self.number.setdefault(owner, len(self.number)), np.int32))
+    def letters(words: np.ndarray) -> str:
+        """Three letters of 7 bits for each word (an automaton's nodes are searched letter by letter, so there must be few); unknown words have one of their own."""
+        out = np.stack([(words >> 14) & 127, (words >> 7) & 127, words & 127], 1)
+        out[words < 0] = 255
+        return out.astype(np.uint8).tobytes().decode("latin-1")
+
+    def add(self, owners: list, first: np.ndarray, codes: np.ndarray, values: list[bytes], h: np.ndarray) -> None:
+        """A block of passages: owners, offsets of their words, the words as numbers into values, their hashes."""
+        words = np.array([self.number.setdefault(v, len(self.number)) for v in values] or [0])[codes]
+        line = self.letters(words)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            for at in range(a, b - self.HALF + 1, self.HALF):
+                self.tree.add_word(line[3 * at : 3 * (at + self.PATTERN)], 1)
+        who = np.array([self.documents.setdefault(o, len(self.documents)) for o in owners])
+        pos = np.flatnonzero(B.inside(first, WINDOW, max(0, len(h) - WINDOW + 1)))
+        self.parts.append((words.astype(np.int32), pos, B.window_hash(h, WINDOW)[pos], who[B.owners(first)[pos]]))
 
     def compile(self) -> None:
         self.compiled = True
-        if len(self.tree):
-            self.tree.make_automaton()
-            keys, owners = np.concatenate(self.windows), np.concatenate(self.owners)
-            order = np.argsort(keys)
-            self.keys, self.owner = keys[order], owners[order]
-        self.windows, self.owners = [], []
-
-    def occurrences(self, doc, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and end words of the stretches of a region that lie in passages of other documents.
-
-        A window of a passage holds an aligned half window whole, so only windows around hits are looked up; a window has one owner.
-        """
+        if not len(self.tree):
+            return
+        self.tree.make_automaton()
+        base = np.cumsum([0, *(len(p[0]) for p in self.parts)])
+        self.words = np.concatenate([p[0] for p in self.parts])
+        pos, keys, who = np.concatenate([p[1] + b for p, b in zip(self.parts, base)]), np.concatenate([p[2] for p in self.parts]), np.concatenate([p[3] for p in self.parts])
+        order = np.argsort(keys)
+        self.keys, self.at, self.who = keys[order], pos[order], who[order]
+        self.parts = []
+
+    def _equal(self, words: np.ndarray, window: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Whether all words of each window are those of its entry; windows are in order."""
+        place = self.at[entry]
+        new = np.ones(len(window), bool)
+        new[1:] = (np.diff(window) != 1) | (np.diff(place) != 1)
+        run = np.flatnonzero(new)
+        size = np.diff(np.append(run, len(window))) + WINDOW - 1
+        base = np.cumsum(size) - size
+        step = np.arange(size.sum()) - np.repeat(base, size)
+        differ = words[np.repeat(window[run], size) + step] != self.words[np.repeat(place[run], size) + step]
+        upto = np.concatenate([[0], np.cumsum(differ)])
+        own = np.cumsum(new) - 1
+        at = base[own] + window - window[run][own]
+        return upto[at + WINDOW] == upto[at]
+
+    def occurrences(self, documents: list, first: np.ndarray, codes: np.ndarray, values: list[bytes], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end words of the stretches of a block of regions that lie in passages of other documents."""
         m = len(h) - WINDOW + 1
-        last = np.fromiter((at for at, _ in self.tree.iter(self.letters(h))), np.int64) if m > 0 and len(self.tree) else np.zeros(0, np.int64)
-        if not len(last):
-            return last, last
-        edge = np.zeros(m + 1, np.int64)
-        np.add.at(edge, np.clip(last - WINDOW + 1, 0, m), 1)
-        np.add.at(edge, np.clip(last - self.HALF + 2, 0, m), -1)
-        near = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-        keys = B.window_hash(h, WINDOW)[near]
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        none = np.zeros(0, np.int64)
+        if m <= 0 or not len(self.tree):
+            return none, none
+        words = np.array([self.number.get(v, -1) for v in values] or [0])[codes]
+        last = np.fromiter((at for at, _ in self.tree.iter(self.letters(words))), np.int64)
+        half = last[last % 3 == 2] // 3 - self.PATTERN + 1
+        edge = np.bincount(np.clip(half - WINDOW + self.HALF, 0, m), minlength=m + 1) - np.bincount(np.clip(half + 1, 0, m), minlength=m + 1)
+        window = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & B.inside(first, WINDOW, m))
+        keys = B.window_hash(h, WINDOW)[window]
+        entry = np.searchsorted(self.keys, keys)
+        who = np.array([self.documents.get(d, -1) for d in documents])[B.owners(first)[window]]
         hit = np.zeros(m, bool)
-        hit[near] = (self.keys[at] == keys) & (self.owner[at] != self.number.get(doc, -1))
-        return runs(B.covered(hit, WINDOW, len(h)))
+        while len(window):
+            known = np.flatnonzero(entry < len(self.keys))
+            known = known[self.keys[entry[known]] == keys[known]]
+            window, keys, entry, who = window[known], keys[known], entry[known], who[known]
+            same = self._equal(words, window, entry)
+            hit[window[same & (self.who[entry] != who)]] = True
+            window, keys, entry, who = window[~same], keys[~same], entry[~same] + 1, who[~same]  # another window of the same hash
+        mark = B.covered(hit, WINDOW, len(h))
+        label = np.where(mark, B.owners(first) + 1, 0)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], label, [0]])))
+        begin, end = edge[:-1], edge[1:]
+        real = label[begin] > 0 if len(begin) else np.zeros(0, bool)
+        return begin[real], end[real]
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows shard, is_region, doc_id, th, start, text: passages, then regions of each shard -> doc_id, th, first, end."""
     shard, machine = None, Automaton()
     for batch in batches:
-        numbers, regions, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        starts = batch.column(4).to_pylist()
-        rows: list[tuple[int, int, int]] = []
-        for a, b, data, off in B.blocks(batch.column(5)):
-            _, _, first, h = _hashed(data, off)
-            for i in range(a, b):
-                own = h[first[i - a] : first[i - a + 1]]
-                if numbers[i] != shard:
-                    shard, machine = numbers[i], Automaton()
-                if not regions[i]:
-                    machine.add(ids[i], own.copy())
+        numbers, regions = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        change = np.flatnonzero((numbers[1:] != numbers[:-1]) | (regions[1:] != regions[:-1])) + 1
+        for low, high in zip([0, *change.tolist()], [*change.tolist(), len(batch)]):
+            if low == high:
+                continue
+            if numbers[low] != shard:
+                shard, machine = numbers[low], Automaton()
+            part = batch.slice(low, high - low)
+            for a, b, data, off in B.blocks(part.column(5)):
+                start, end, first, h = _hashed(data, off)
+                codes, values = B.dictionary(data, start, end)
+                rows = part.slice(a, b - a)
+                ids = rows.column(2).to_pylist()
+                if not regions[low]:
+                    machine.add(ids, first, codes, values.to_pylist(), h)
                     continue
                 if not machine.compiled:
                     machine.compile()
-                rows += [(i, starts[i] + x, starts[i] + y) for x, y in zip(*(v.tolist() for v in machine.occurrences(ids[i], own)))]
-        if rows:
-            take = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(2).take(take), batch.column(3).take(take), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "th", "first", "end"])
+                x, y = machine.occurrences(ids, first, codes, values.to_pylist(), h)
+                if len(x):
+                    owner = B.owners(first)[x]
+                    take, shift = pa.array(owner), rows.column(4).to_numpy()[owner] - first[owner]
+                    yield pa.RecordBatch.from_arrays([rows.column(2).take(take), rows.column(3).take(take), pa.array(x + shift), pa.array(y + shift)], ["doc_id", "th", "first", "end"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,46 +300,47 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first), pa.int64()), pa.array(n_removed), kept], ["doc_id", "n_words", "n_removed", "kept"])
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(scanned, spans): per row (doc_id, th, n_words, whole), and the stretches (doc_id, th, first, end) of words to remove. th: hash of the text."""
-    spark = df.sparkSession
-    ship(spark)
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scanned, texts, spans): per row (doc_id, th, n_words, whole); texts that may recur; the stretches (doc_id, th, first, end) of words to remove. th: hash of the text."""
+    ship(df.sparkSession)
     docs = df.select(df[id_col].alias("doc_id"), F.xxhash64(F.coalesce(df[text_col], F.lit(""))).alias("th"), df[text_col].alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scanned = stored(docs.mapInArrow(_scan, f"doc_id {kind}, th long, n_words long, whole string, anchors array<long>"))
     pairs = scanned.where("doc_id IS NOT NULL").select("doc_id", "th", F.explode("anchors").alias("anchor"))
     often = pairs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     marked = stored(pairs.join(often, "anchor").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("anchors")))
-    regions = stored(docs.join(marked, ["doc_id", "th"]).select("doc_id", "th", "text", "anchors").mapInArrow(_regions, f"doc_id {kind}, th long, start long, words long, text string"))
+    texts = stored(docs.join(marked, ["doc_id", "th"]).select("doc_id", "th", "text", "anchors"))
+    regions = stored(texts.mapInArrow(_regions, f"doc_id {kind}, th long, start long, words long, text string"))
 
-    named = regions.withColumn("rh", F.md5("text"))
+    named = regions.withColumn("rh", F.sha2("text", 256))
     one = named.groupBy("rh").agg(F.min(F.struct("doc_id", "th", "start")).alias("x"), F.max("doc_id").alias("last_doc")).select("x.*", "last_doc")
     key = ["doc_id", "th", "start"]
     first = stored(regions.dropDuplicates(key).join(one, key).select(*key, "last_doc", "text"))
-    windows = first.mapInArrow(_windows, f"doc_id {kind}, th long, start long, last_doc {kind}, pos long, hash long")
-    confirmed = windows.groupBy("hash").agg(F.min(F.struct(*key, "pos")).alias("x"), F.max("last_doc").alias("last_doc")).where("x.doc_id < last_doc").select("x.*")
+    windows = first.mapInArrow(_windows, f"doc_id {kind}, th long, start long, last_doc {kind}, pos long, hash long, hash2 long")
+    confirmed = windows.groupBy("hash", "hash2").agg(F.min(F.struct(*key, "pos")).alias("x"), F.max("last_doc").alias("last_doc")).where("x.doc_id < last_doc").select("x.*")
     owned = confirmed.groupBy(*key).agg(F.collect_list("pos").alias("positions"))
     passages = stored(first.join(owned, key).select(*key, "text", "positions").mapInArrow(_passages, f"owner {kind}, th long, start long, place long, text string, anchors array<long>"))
+    dropped(first)
 
     words = regions.agg(F.sum("words")).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
     wanted = marked.select(F.explode("anchors").alias("anchor"), shard).distinct()
-    named = ["owner", "th", "start", "place"]
-    sent = passages.select(*named, F.explode("anchors").alias("anchor")).join(wanted, "anchor").select(*named, "shard").distinct()
-    sent = sent.join(passages.select(*named, "text"), named).select("shard", F.lit(False).alias("is_region"), F.col("owner").alias("doc_id"), "th", "start", "text")
+    place = ["owner", "th", "start", "place"]
+    sent = passages.select(*place, F.explode("anchors").alias("anchor")).join(wanted, "anchor").select(*place, "shard").distinct()
+    sent = sent.join(passages.select(*place, "text"), place).select("shard", F.lit(False).alias("is_region"), F.col("owner").alias("doc_id"), "th", "start", "text")
     every = sent.unionByName(regions.select(shard, F.lit(True).alias("is_region"), "doc_id", "th", "start", "text"))
-    spans = every.repartition("shard").sortWithinPartitions("shard", "is_region").mapInArrow(_locate, f"doc_id {kind}, th long, first long, end long")
-    return scanned.drop("anchors"), stored(spans)
+    spans = stored(every.repartition("shard").sortWithinPartitions("shard", "is_region").mapInArrow(_locate, f"doc_id {kind}, th long, first long, end long"))
+    dropped(marked, regions, passages)
+    return scanned.drop("anchors"), texts.drop("anchors"), spans
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256."""
-    scanned, spans = repeated_spans(df, id_col, text_col)
+    scanned, texts, spans = repeated_spans(df, id_col, text_col)
     kind = scanned.schema["doc_id"].dataType.simpleString()
     grouped = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
-    docs = df.select(df[id_col].alias("doc_id"), F.xxhash64(F.coalesce(df[text_col], F.lit(""))).alias("th"), df[text_col].alias("text"))
-    cut = docs.join(grouped, ["doc_id", "th"]).select("doc_id", "text", "spans").mapInArrow(_removed, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    cut = texts.join(grouped, ["doc_id", "th"]).select("doc_id", "text", "spans").mapInArrow(_removed, f"doc_id {kind}, n_words long, n_removed long, kept string")
     cut = cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     rest = scanned.join(spans.select("doc_id", "th").distinct(), ["doc_id", "th"], "left_anti")
     return cut.unionByName(rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole").alias("kept_sha256")))

@@ -9,8 +9,8 @@ are chosen anew in each round by the model so far.
 Since the softmax is linear, each n-gram weighs one fixed-point number when texts are scored: sums are of integers and
 don't depend on batches, and equal texts get equal scores. Scoring is one scan without a shuffle; the model is of fixed size.
 
-Training reads a bounded sample: at most `most_toxic` and `most_clean` labelled rows, in the order of a hash of the id, of texts
-up to `most_chars` characters. It sees the text and nothing else.
+Training reads a bounded sample: at most `most_toxic` and `most_clean` labelled rows, in the order of a hash of the id. Of a text of over
+`most_chars` characters it reads 100 stretches, spread evenly and so many characters in all. It sees the text and nothing else.
 
 Edge cases: null texts count as empty; a text without words scores as the softmax's bias; without labelled rows of both
 classes every score is the share of label 1 (0 without any label); a null label or an id that is null is not used for
@@ -50,7 +50,7 @@ class Settings:
     seed: int = 20
     most_toxic: int = 2000
     most_clean: int = 5000
-    most_chars: int = 20_000
+    most_chars: int = 1_000_000
 
 
 def _normal(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,8 +232,10 @@ def training_rows(df: DataFrame, labels: DataFrame, settings: Settings = Setting
     marks = labels.select(labels[id_col].alias("k"), labels[label_col].alias("y")).where("k IS NOT NULL AND y IS NOT NULL AND crc32(cast(k AS string)) % 5 != 0").groupBy("k").agg((F.max("y") == 1).cast("int").alias("y"))
     order = F.xxhash64("k")
     chosen = marks.where("y = 1").orderBy(order, "k").limit(settings.most_toxic).unionByName(marks.where("y = 0").orderBy(order, "k").limit(settings.most_clean))
-    fits = df.select(df[id_col].alias("k"), df[text_col].alias("text")).where(F.length(F.coalesce("text", F.lit(""))) <= settings.most_chars)
-    rows = fits.join(F.broadcast(chosen), "k").select("k", "y", "text", order.alias("h")).orderBy("h", "k", "text").limit(settings.most_toxic + settings.most_clean).collect()
+    stretch = max(1, settings.most_chars // 100)
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.substring("text", (i * (F.length("text") - stretch) / 99).cast("int") + 1, F.lit(stretch))), " ")
+    texts = df.select(df[id_col].alias("k"), df[text_col].alias("text")).withColumn("text", F.when(F.length("text") > settings.most_chars, spread).otherwise(F.col("text")))
+    rows = texts.join(F.broadcast(chosen), "k").select("k", "y", "text", order.alias("h")).orderBy("h", "k", "text").limit(settings.most_toxic + settings.most_clean).collect()
     return [r["text"] for r in rows], [r["y"] for r in rows]
 
 
