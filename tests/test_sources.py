@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from verso.operators import select
 from verso.plans.book import whole_book
 from verso.sources import epub, files, sound
-from verso.sources.generator import generated_sentences
+from verso.sources.generator import generated_book
 from verso.streaming import events
 
 PARAGRAPH = "It was late. “Who is there?” Anna said, and nobody answered her in the long dark hall of the old house. "
@@ -65,13 +65,34 @@ def test_sound(spark):
 
 
 def test_generator(spark):
-    rows = generated_sentences(spark, 10, 3)
-    total = rows.agg(F.sum("words"), F.max("words")).first()
-    assert 3000 <= total[0] < 3000 + total[1]
-    assert rows.agg(F.min("chapter"), F.max("chapter")).first() == (1, 12)
-    sizes = [r["count"] for r in rows.groupBy("paragraph").count().orderBy("paragraph").collect()]
-    assert all(3 <= n <= 8 for n in sizes[1:-1])
-    assert rows.exceptAll(generated_sentences(spark, 10, 3)).count() == 0
+    import re
+
+    for pages, n_chapters in ((10, 10), (5, 5), (40, 12)):
+        rows = generated_book(spark, pages, 3).orderBy("chapter", "paragraph").collect()
+        words = [len(r["text"].split()) for r in rows]
+        assert words == [r["words"] for r in rows]
+        target, own = pages * 300, max(300, pages * 300 // 12)
+        assert target <= sum(words) < target + words[-1] + 1 and rows[-1]["chapter"] <= n_chapters
+        by = {}
+        for r in rows:
+            by.setdefault(r["chapter"], []).append(r["words"])
+        assert list(by) == list(range(1, len(by) + 1))
+        assert all(sum(v) >= own > sum(v[:-1]) for v in list(by.values())[:-1])
+        ends = [len(re.findall(r"(?:[.!?…]+|—)(?= [Jj]|$)", r["text"])) for r in rows]
+        assert max(ends) >= 8
+    assert generated_book(spark, 10, 3).exceptAll(generated_book(spark, 10, 3)).count() == 0
+
+
+def test_resampled_sounds(spark):
+    import numpy as np
+
+    t = np.arange(4800) / 48_000
+    stereo = (np.stack([np.sin(2 * np.pi * 500 * t)] * 2, 1) * 20_000).astype("<i2").tobytes()
+    rows = spark.createDataFrame([("c", 0, sound.wav_bytes(stereo, 48_000, 2, 2)), ("c", 1, sound.wav_bytes(bytes([128] * 800), 8000, 1, 1))], "chapter string, n int, data binary")
+    width, channels, rate, frames = sound.read_wav(bytes(sound.joined_wavs(rows, ["chapter"], "n", resample=True).first()["data"]))
+    x = np.frombuffer(frames, "<i2")
+    assert (width, channels, rate, len(x)) == (2, 1, 24_000, 2400 + 2400)
+    assert np.abs(x[:2400] - 20_000 * np.sin(2 * np.pi * 500 * np.arange(2400) / 24_000)).max() < 200 and not x[2400:].any()
 
 
 def test_streams_agree_with_batches(spark, sf, tmp_path):
@@ -109,3 +130,82 @@ def test_speech(spark):
     book = speech.book_sound(timed, chapters, said, sound.chime()).select(sound.wav_seconds("data")).first()[0]
     assert abs(book * 1000 - (rows[1]["end_ms"] + 3000)) < 2
     assert jobs.pending(work, lines.withColumn("size", F.length("data")), ["book", "number", "sub_idx"]).count() == 0
+
+
+class FakeService:
+    """Answers by a script; an OSError in it is raised."""
+
+    def __init__(self, statuses, results):
+        self.statuses, self.results, self.submitted = list(statuses), list(results), 0
+
+    def _next(self, queue):
+        x = queue.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    def submit(self, kind, params):
+        self.submitted += 1
+        return f"job{self.submitted}"
+
+    def status(self, job):
+        return self._next(self.statuses)
+
+    def result(self, job):
+        return self._next(self.results)
+
+
+def test_remote_jobs():
+    import pytest
+
+    from verso.plans.remote import fetched
+
+    waits = []
+    service = FakeService(["waiting", OSError(), "waiting", "failed", "done", "done"], [b"short", OSError(), b"x" * 100])
+    assert fetched(service, "speak", {}, sleep=waits.append) == b"x" * 100 and service.submitted == 3
+    assert waits.count(5) == 2
+    with pytest.raises(RuntimeError):
+        fetched(FakeService(["failed"] * 3, []), "speak", {}, sleep=waits.append)
+    with pytest.raises(OSError):
+        fetched(FakeService([OSError()] * 5, []), "speak", {}, sleep=waits.append)
+
+
+def test_replies_are_asked_for_again(spark):
+    from verso.plans.backend import asked, has_lines
+
+    class Stubborn:
+        def __init__(self):
+            self.calls = 0
+
+        def answer(self, prompts):
+            self.calls += 1
+            return ['{"narrator": "x"}' if p == "good" or self.calls >= 4 else "no lines" for p in prompts]
+
+    rows = spark.createDataFrame([("good",), ("bad",)], "p string").coalesce(1)
+    assert {r["p"]: r["r"] for r in asked(rows, "p", "r", Stubborn(), accept=has_lines, attempts=6).collect()} == {"good": '{"narrator": "x"}', "bad": '{"narrator": "x"}'}
+    assert {r["p"]: r["r"] for r in asked(rows, "p", "r", Stubborn(), accept=has_lines, attempts=2).collect()}["bad"] == "no lines"
+
+
+def test_voices_of_a_cast(spark):
+    from verso.plans import book, speech
+    from verso.plans.backend import OfflineBackend
+
+    cast = spark.createDataFrame([("b", "ann", "calm"), ("b", "narrator", "clear"), ("c", "bob", None)], "book string, char_id string, bio string")
+    described = book.voice_descriptions(cast, OfflineBackend())
+    assert all(r["description"] for r in described.collect())
+    assert {(r["book"], r["char_id"]) for r in book.acoustic_descriptions(described, OfflineBackend()).collect()} == {("b", "ann"), ("b", "narrator"), ("c", "bob")}
+    work = cast.selectExpr("book", "char_id", "'one two' AS text", "'af_heart' AS voice", "1.0D AS speed")
+    done = spark.createDataFrame([("b", "ann", 5000), ("c", "bob", 10)], "book string, char_id string, size int")
+    samples = speech.voice_samples(work, speech.engine("offline"), done).select("char_id", sound.wav_seconds("data").alias("s")).collect()
+    assert {r["char_id"]: round(r["s"], 2) for r in samples} == {"narrator": 0.8, "bob": 0.8}
+
+
+def test_errors_on_missing_input(spark):
+    import pytest
+
+    rows = spark.createDataFrame([("b", 1), ("b", 2), ("c", 1)], "book string, n int")
+    assert select.nth_chapter(rows, "book", "n", 0, strict=True).count() == 2
+    with pytest.raises(IndexError):
+        select.nth_chapter(rows, "book", "n", 1, strict=True)
+    with pytest.raises(ValueError, match="no chapters"):
+        select.require_rows(rows.where("n > 5"), "chapters")

@@ -66,17 +66,28 @@ class _Reader(HTMLParser):
         self._shut(0)
 
 
-def read_blocks(html: str) -> str:
-    """Paragraphs in the order of their starts; a block inside a block gives its text again, as part of both."""
+def read_document(html: str) -> tuple[str, str | None]:
+    """read_blocks() and read_title() of a document."""
     r = _Reader()
     r.finish(html)
-    return "\n\n".join(t for t in (" ".join(r.texts[a:b]) for _, a, b in r.found) if t)
+    return _blocks(r), _title(r)
+
+
+def read_blocks(html: str) -> str:
+    """Paragraphs in the order of their starts; a block inside a block gives its text again, as part of both."""
+    return read_document(html)[0]
 
 
 def read_title(html: str) -> str | None:
     """Text of the first h1, else h2, else h3 that isn't empty and has under 200 characters."""
-    r = _Reader()
-    r.finish(html)
+    return read_document(html)[1]
+
+
+def _blocks(r: _Reader) -> str:
+    return "\n\n".join(t for t in (" ".join(r.texts[a:b]) for _, a, b in r.found) if t)
+
+
+def _title(r: _Reader) -> str | None:
     for tag in ("h1", "h2", "h3"):
         for found, a, b in r.found:
             if found == tag:
@@ -87,14 +98,10 @@ def read_title(html: str) -> str | None:
     return None
 
 
-@F.pandas_udf(T.StringType())
-def html_to_text(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else read_blocks(s))
-
-
-@F.pandas_udf(T.StringType())
-def chapter_title(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else read_title(s))
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("text", "title")]))
+def read_page(x: pd.Series) -> pd.DataFrame:
+    """Text and title of a page, which is parsed once."""
+    return pd.DataFrame([(None, None) if s is None else read_document(s) for s in x], columns=["text", "title"])
 
 
 def _visible(html: Column) -> Column:
@@ -113,15 +120,33 @@ def _plain(x: Column) -> Column:
 
 def html_blocks(html: Column) -> Column:
     """Array of paragraphs, cut at block tags by regular expressions; nested blocks don't repeat text."""
-    cut = F.regexp_replace(_visible(html), r"(?i)</?(?:p|h[1-6]|div|blockquote)\b[^>]*>", "\x1e")
+    return _blocks_of(_visible(html))
+
+
+def _blocks_of(visible: Column) -> Column:
+    cut = F.regexp_replace(visible, r"(?i)</?(?:p|h[1-6]|div|blockquote)\b[^>]*>", "\x1e")
     return F.filter(F.transform(F.split(cut, "\x1e"), _plain), lambda s: s != "")
 
 
-def heading(html: Column, level: int) -> Column:
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _heading(visible: Column, level: int) -> Column:
     """Text of the first heading of a level, null if it is empty or has 200 characters or more."""
-    found = _plain(F.regexp_extract(_visible(html), rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}>", 1))
-    return F.when((found != "") & (F.length(found) < 200), found)
+    found = _plain(F.regexp_extract(visible, rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}>", 1))
+    return _once(found, lambda f: F.when((f != "") & (F.length(f) < 200), f))
+
+
+def _title_of(visible: Column) -> Column:
+    return F.coalesce(*(_heading(visible, n) for n in (1, 2, 3)))
 
 
 def heading_title(html: Column) -> Column:
-    return F.coalesce(*(heading(html, n) for n in (1, 2, 3)))
+    return _once(_visible(html), _title_of)
+
+
+def page_parts(html: Column) -> Column:
+    """Struct of text (paragraphs joined by an empty line) and title; a page is cleaned once."""
+    return _once(_visible(html), lambda v: F.struct(F.array_join(_blocks_of(v), "\n\n").alias("text"), _title_of(v).alias("title")))

@@ -26,6 +26,16 @@ def parse_characters(reply: Column) -> Column:
     return F.coalesce(found, F.from_json(F.lit("{}"), "map<string,struct<name:string,details:string,bio:string>>"))
 
 
+def parse_groups(reply: Column) -> Column:
+    """Groups of ids, as arrays; empty for an empty or broken reply."""
+    return F.coalesce(F.from_json(json_body(reply), "struct<groups:array<array<string>>>", _STRICT)["groups"], F.array().cast("array<array<string>>"))
+
+
+def parse_person(reply: Column) -> Column:
+    """Struct of name and bio; null for an empty or broken reply."""
+    return F.from_json(json_body(reply), "struct<name:string,bio:string>", _STRICT)
+
+
 def parse_strict(reply: Column, schema: str) -> Column:
     """The object of a reply; a reply without one, or a broken one, is an error."""
     body = json_body(reply)

@@ -37,7 +37,7 @@ def fold_aliases(characters: DataFrame, aliases: DataFrame, book: list[str]) ->
 def apply_known_aliases(characters: DataFrame, aliases: DataFrame, invalid: list[str], book: list[str]) -> DataFrame:
     """aliases: (alias, canonical). Where both exist the alias' biography goes to the canonical row and the alias goes; then ids in `invalid` go."""
     ids = characters.select(*book, F.col("char_id"))
-    both = ids.join(F.broadcast(aliases), ids["char_id"] == aliases["alias"]).drop("char_id")
+    both = ids.join(aliases, ids["char_id"] == aliases["alias"]).drop("char_id")
     both = both.join(ids.withColumnRenamed("char_id", "canonical"), [*book, "canonical"])
     extra = both.join(characters.select(*book, F.col("char_id").alias("alias"), "bio"), [*book, "alias"])
     extra = extra.groupBy(*book, "canonical").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("alias", "bio"))), lambda x: x["bio"]), " ").alias("more"))

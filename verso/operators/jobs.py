@@ -34,11 +34,23 @@ def out_key(sub_idx: Column) -> Column:
     return F.format_string("%05d.wav", sub_idx)
 
 
+def voice_entries(voice_map: DataFrame, keys: list[str]) -> DataFrame:
+    """voice_map: keys, voice, speed. One row (keys, entry) per key: the least of several; a missing voice or speed is the default one."""
+    entry = F.struct(F.coalesce("voice", F.lit(DEFAULT_VOICE)).alias("voice"), F.coalesce(F.col("speed").cast("double"), F.lit(1.0)).alias("speed"))
+    return voice_map.groupBy(*keys).agg(F.min(entry).alias("entry"))
+
+
+def default_entry() -> Column:
+    return F.struct(F.lit(DEFAULT_VOICE).alias("voice"), F.lit(1.0).alias("speed"))
+
+
 def with_voices(jobs: DataFrame, voice_map: DataFrame) -> DataFrame:
-    """voice_map: speaker, voice, speed. A speaker without an entry takes the narrator's, else the default voice at speed 1."""
-    narrator = voice_map.where(F.col("speaker") == NARRATOR).agg(F.first("voice").alias("_voice"), F.first("speed").alias("_speed"))
-    rows = jobs.join(voice_map.select("speaker", "voice", "speed"), "speaker", "left").crossJoin(F.broadcast(narrator))  # one row
-    return rows.withColumns({"voice": F.coalesce("voice", "_voice", F.lit(DEFAULT_VOICE)), "speed": F.coalesce("speed", "_speed", F.lit(1.0))}).drop("_voice", "_speed")
+    """voice_map: speaker, voice, speed. A speaker without an entry takes the narrator's whole entry, else the default voice at speed 1."""
+    entries = voice_entries(voice_map, ["speaker"]).withColumnRenamed("entry", "_own")
+    narrator = entries.where(F.col("speaker") == NARRATOR).agg(F.first("_own").alias("_narrator"))
+    rows = jobs.join(entries, "speaker", "left").crossJoin(F.broadcast(narrator))  # one row
+    rows = rows.withColumn("_entry", F.coalesce("_own", "_narrator", default_entry()))
+    return rows.withColumns({"voice": F.col("_entry.voice"), "speed": F.col("_entry.speed")}).drop("_own", "_narrator", "_entry")
 
 
 def pending(jobs: DataFrame, outputs: DataFrame, key: list[str], size: str = "size") -> DataFrame:

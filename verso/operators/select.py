@@ -55,8 +55,19 @@ def first_chapters(rows: DataFrame, book: str, order: str, n: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(book).orderBy(order))).where(F.col("_n") <= n).drop("_n")
 
 
-def nth_chapter(rows: DataFrame, book: str, order: str, n: int) -> DataFrame:
-    """The row at place n (from 0) of each book that has it."""
+def require_rows(rows: DataFrame, what: str) -> DataFrame:
+    """rows, or an error where there are none. Runs a job."""
+    if rows.isEmpty():
+        raise ValueError(f"no {what}")
+    return rows
+
+
+def nth_chapter(rows: DataFrame, book: str, order: str, n: int, strict: bool = False) -> DataFrame:
+    """The row at place n (from 0) of each book that has it; strict: a book without it is an error."""
+    if strict:
+        size = rows.groupBy(book).agg(F.count("*").alias("_n"))
+        if n < 0 or not size.where(F.col("_n") <= n).isEmpty():
+            raise IndexError(f"not every {book} has a chapter {n}")
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(book).orderBy(order)) - 1).where(F.col("_n") == n).drop("_n")
 
 
@@ -66,6 +77,20 @@ def until_words(rows: DataFrame, book: str, order: str, words: str, target: int)
     return rows.withColumn("_before", F.coalesce(F.sum(words).over(before), F.lit(0))).where(F.col("_before") < target).drop("_before")
 
 
+def chapters_by_words(rows: DataFrame, book: str, order: str, words: str, per_chapter: int) -> DataFrame:
+    """(book, order, chapter): a book's rows in order; a chapter is full when its words reach per_chapter. One book is folded in one task, two numbers a row."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(words).cast("long").alias("n"))))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(1).alias("chapter"), F.array().cast(f"array<struct<at:{rows.schema[order].dataType.simpleString()},chapter:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        full = acc["n"] >= per_chapter
+        chapter = F.when(full, acc["chapter"] + 1).otherwise(acc["chapter"])
+        return F.struct((F.when(full, 0).otherwise(acc["n"]) + x["n"]).cast("long").alias("n"), chapter.alias("chapter"), F.concat(acc["out"], F.array(F.struct(x["at"].alias("at"), chapter.alias("chapter")))).alias("out"))
+
+    folded = rows.groupBy(book).agg(items.alias("_items")).select(book, F.explode(F.aggregate("_items", zero, step)["out"]).alias("_x"))
+    return folded.select(book, F.col("_x.at").alias(order), "_x.chapter")
+
+
 def pick_cover(items: DataFrame, book: str) -> DataFrame:
     """items: pos, kind (file, cover, image), item_id, name, media_type. One row per book that has a cover, with its extension.
 

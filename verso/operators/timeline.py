@@ -55,6 +55,13 @@ def announcement(title: Column, stem: Column) -> Column:
     return F.format_string("%s. %s.", title, display_name(stem))
 
 
+def missing_announcements(stems: DataFrame, present: DataFrame, book: list[str]) -> DataFrame:
+    """stems: book, title, stem; present: book, stem. (book, stem, speaker, text) of chapters, intros aside, whose announcement isn't there yet."""
+    rows = stems.where(is_chapter_audio(F.col("stem")) & ~is_intro(F.col("stem")))
+    rows = rows.join(present.select(*book, "stem"), [*book, "stem"], "left_anti")
+    return rows.select(*book, "stem", F.lit("narrator").alias("speaker"), announcement(F.col("title"), F.col("stem")).alias("text"))
+
+
 def is_chapter_audio(stem: Column) -> Column:
     return ~stem.endswith(".announce") & (stem != "chime")
 

@@ -10,6 +10,7 @@ import json
 import re
 import time
 import urllib.request
+from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verso.cluster import ship
+from verso.plans import prompts
 
 
 class Backend(Protocol):
@@ -30,12 +32,12 @@ class OfflineBackend:
         return [self.one(p) for p in prompts]
 
     def one(self, prompt: str) -> str:
-        task, _, body = prompt.partition("\n")
+        task, body = prompts.split(prompt)
         if task == "CLASSIFY":
             return "NONCONTENT" if re.search("licen[sc]e|copyright|all rights reserved", body[:1000].lower()) else "CONTENT"
         if task == "SCRIPT":
             lines = []
-            for k, part in enumerate(re.split(r'["“”]', body)):
+            for k, part in enumerate(re.split(r'["“”]', body.partition(prompts.RULE)[2])):
                 if part.strip():
                     lines.append(json.dumps({"speaker_id" if k % 2 else "speaker": "speech" if k % 2 else "narrator", "text": part.strip()}, ensure_ascii=False))
             return "\n".join(lines)
@@ -43,7 +45,16 @@ class OfflineBackend:
             names = dict.fromkeys(re.findall(r"([A-ZÀ-Þ]\w+) (?:said|asked|replied|cried)", body))
             return json.dumps({"characters": {n.lower(): {"name": n, "details": f"{n} speaks."} for n in names}}, ensure_ascii=False)
         if task == "VOICES":
-            return json.dumps({i: {"voice": "bm_george" if i == "narrator" else "af_heart", "speed": "1.0"} for i in body.split()})
+            return json.dumps({i: {"voice": "bm_george" if i == "narrator" else "af_heart", "speed": "1.0"} for i in re.findall(r"(?m)^(\S+): ", body.partition(prompts.RULE)[2])})
+        if task == "DEDUP":
+            ids = re.findall(r"(?m)^(\S+): ", body)
+            parts = {i: set(i.split("_")) - {"the", "don", "dona"} for i in ids}
+            groups = {i: [j for j in ids if parts[j] and parts[j] <= parts[i]] for i in ids}
+            return json.dumps({"groups": [g for g in groups.values() if len(g) > 1]}, ensure_ascii=False)
+        if task == "NARRATOR":
+            return json.dumps({"name": "Narrator", "bio": f"Tells {body.partition(chr(10))[0]} calmly."}, ensure_ascii=False)
+        if task in ("DESCRIBE", "ACOUSTIC"):
+            return f"The voice of {body.splitlines()[-1]}"
         return ""
 
 
@@ -70,15 +81,41 @@ class RemoteBackend:
         return ""
 
 
-def asked(rows: DataFrame, prompt: str, reply: str, backend: Backend, parallel: int = 0) -> DataFrame:
-    """rows with the column `reply`: the backend's answer to the column `prompt`. parallel: at most so many calls at once (0: no limit)."""
+def has_text(reply: str) -> bool:
+    return bool(reply.strip())
+
+
+def has_lines(reply: str) -> bool:
+    """Whether some line of a reply is a JSON object."""
+    for line in reply.splitlines():
+        try:
+            if isinstance(json.loads(line), dict):
+                return True
+        except ValueError:
+            pass
+    return False
+
+
+def asked(rows: DataFrame, prompt: str, reply: str, backend: Backend, parallel: int = 0, accept: Callable[[str], bool] | None = None, attempts: int = 1) -> DataFrame:
+    """rows with the column `reply`: the backend's answer to the column `prompt`. parallel: at most so many calls at once (0: no limit).
+
+    A reply that `accept` refuses is asked for again, `attempts` times in all; the last one stays.
+    """
     ship(rows.sparkSession)
     if parallel:
         rows = rows.repartition(parallel)
 
     @F.pandas_udf("string")
     def call(x: pd.Series) -> pd.Series:
-        return pd.Series(backend.answer([p or "" for p in x]))
+        asks = [p or "" for p in x]
+        replies = backend.answer(asks)
+        for _ in range(attempts - 1):
+            bad = [i for i, r in enumerate(replies) if accept and not accept(r)]
+            if not bad:
+                break
+            for i, r in zip(bad, backend.answer([asks[i] for i in bad])):
+                replies[i] = r
+        return pd.Series(replies)
 
     return rows.withColumn(reply, call.asNondeterministic()(F.col(prompt)))
 

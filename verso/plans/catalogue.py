@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from verso.cluster import ship
+from verso.cluster import shared_dir, ship
 from verso.functions import chunks, html, replies, text, voices
 from verso.operators import entities, jobs, select, state, timeline
-from verso.sources.generator import generated_sentences
+from verso.plans import book, speech
+from verso.plans.backend import OfflineBackend
+from verso.sources import epub, files, generator, sound
 from verso.sources.tables import page_items, script_lines, state_rows, table
 from verso.streaming import events as event_plans
 
@@ -88,7 +91,22 @@ def html_blocks_regex(spark, d):
 
 @query()
 def html_to_text_dom(spark, d):
-    return table(spark, d, "pages").select("page_id", html.html_to_text("html").alias("text"), html.chapter_title("html").alias("title"))
+    return table(spark, d, "pages").select("page_id", html.read_page("html").alias("x")).select("page_id", "x.text", "x.title")
+
+
+SLUG = lambda x: rf"regexp_replace({STRIP(rf"regexp_replace(lower(strip_accents({x})), '[^a-z0-9\s]', '', 'g')")}, '\s+', '_', 'g')"
+
+
+@query(
+    rf"""WITH i AS (SELECT {BOOK} AS book, page_id AS pos, url AS filename, array_to_string(list_filter(list_transform(string_split(regexp_replace({VISIBLE}, '(?i)</?(?:p|h[1-6]|div|blockquote)\b[^>]*>', chr(30), 'g'), chr(30)), lambda x: {_plain("x")}), lambda x: x <> ''), chr(10) || chr(10)) AS text, {TITLE} AS t FROM pages),
+    c AS (SELECT *, NOT regexp_matches(lower(substr(text, 1, 1000)), 'licen[sc]e|copyright|all rights reserved') AS ok FROM i WHERE length({STRIP("text")}) >= 500),
+    r AS (SELECT *, min(CASE WHEN ok THEN pos END) OVER w AS a, max(CASE WHEN ok THEN pos END) OVER w AS b FROM c WINDOW w AS (PARTITION BY book)),
+    n AS (SELECT *, (row_number() OVER (PARTITION BY book ORDER BY pos))::INT AS number FROM r WHERE pos BETWEEN a AND b),
+    s AS (SELECT *, coalesce(t, 'Chapter ' || number) AS title FROM n)
+    SELECT book, number, title, printf('%02d-%s.txt', number, substr({SLUG("title")}, 1, 40)) AS file_name, filename, length(text)::INT AS n_chars FROM s"""
+)
+def chapters_of_pages(spark, d):
+    return book.chapters_of_pages(spark, d)
 
 
 @query(f"SELECT page_id, coalesce({TITLE}, 'Chapter ' || page_id) AS title FROM pages")
@@ -181,7 +199,18 @@ def split_long_text(spark, d):
     return rows.select("chapter", "line_no", "piece_no", "piece", "sub_idx", jobs.out_key(F.col("sub_idx")).alias("out_key"))
 
 
-@query()
+_BREAK = lambda mark: rf"length(regexp_extract(w, '^((?s).*{mark})', 1))"
+
+
+@query(
+    rf"""WITH RECURSIVE r AS (
+        SELECT doc_id, text, 0 AS lo, 0 AS hi, -1 AS chunk_no FROM documents WHERE length(text) > 0
+        UNION ALL
+        SELECT doc_id, text, lo, CASE WHEN lo + 4000 >= length(text) THEN length(text) WHEN a > 0 THEN lo + 2000 + a WHEN b > 0 THEN lo + 2000 + b WHEN c > 0 THEN lo + 2000 + c ELSE lo + 4000 END, chunk_no
+        FROM (SELECT *, {_BREAK(chr(92) + "n" + chr(92) + "n")} AS a, {_BREAK(chr(92) + ". ")} AS b, {_BREAK(" ")} AS c FROM (
+            SELECT doc_id, text, hi AS lo, chunk_no + 1 AS chunk_no, substr(text, hi + 2001, 2000) AS w FROM r WHERE hi < length(text))))
+    SELECT doc_id, chunk_no::INT AS chunk_no, substr(text, lo + 1, hi - lo) AS chunk FROM r WHERE chunk_no >= 0"""
+)
 def chunk_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunks.chunk_text(F.col("text"))).alias("chunk_no", "chunk"))
 
@@ -206,9 +235,12 @@ def escapes_and_previews(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.escape_html(t).alias("html"), text.escape_metadata(t).alias("metadata"), text.preview(t).alias("preview"), text.strip_quotes(F.concat(F.lit("  \"'"), t, F.lit("'\" "))).alias("unquoted"))
 
 
-@query("SELECT n_nationkey, n_name AS title, 'A. Writer' AS author, least(5 * n_nationkey, 60)::INT AS wait FROM nation")
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'Unknown' WHEN n_nationkey % 4 = 1 THEN n_name || ' the First' ELSE n_name END AS title,
+    CASE WHEN n_nationkey % 4 IN (0, 2) THEN 'Unknown' ELSE n_name || ' by and by' END AS author, least(5 * n_nationkey, 60)::INT AS wait FROM nation""")
 def intro_fields(spark, d):
-    rows = table(spark, d, "nation").withColumn("intro", F.concat("n_name", F.lit(" by A. Writer, narrated by someone")))
+    k, by = F.col("n_nationkey") % 4, F.concat(F.lit(" by "), "n_name", F.lit(" by and by, narrated by someone"))
+    intro = F.when(k == 0, F.lit("")).when(k == 1, F.concat("n_name", F.lit(" the First"), by)).when(k == 2, F.col("n_name")).otherwise(F.concat("n_name", by))
+    rows = table(spark, d, "nation").withColumn("intro", intro)
     title, author = text.intro_fields(F.col("intro"))
     return rows.select("n_nationkey", title.alias("title"), author.alias("author"), text.backoff_seconds(F.col("n_nationkey")).alias("wait"))
 
@@ -216,9 +248,9 @@ def intro_fields(spark, d):
 # ---- model replies
 
 
-@query("SELECT conv_id, turn, role AS char_id, text AS name, substr(text, 1, 40) AS details FROM conversations")
+@query("SELECT conv_id, turn, role AS char_id, text AS name, text AS details FROM conversations")
 def fence_extract(spark, d):
-    entry = F.struct(F.create_map("role", F.struct(F.col("text").alias("name"), F.substring("text", 1, 40).alias("details"))).alias("characters"))
+    entry = F.struct(F.create_map("role", F.struct(F.col("text").alias("name"), F.col("text").alias("details"))).alias("characters"))
     reply = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(entry), F.lit("\n```\n"))
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.explode(replies.parse_characters(reply)).alias("char_id", "c"))
     return rows.select("conv_id", "turn", "char_id", "c.name", "c.details")
@@ -235,11 +267,11 @@ def jsonl_parse(spark, d):
 
 # ---- characters
 
-_ENTITIES = "(SELECT conv_id, role AS char_id, min_by(upper(role) || turn, turn) AS name, string_agg(substr(text, 1, 60), ' ' ORDER BY turn) AS bio, min(turn) AS first_pos FROM conversations GROUP BY 1, 2)"
+_ENTITIES = "(SELECT conv_id, role AS char_id, min_by(upper(role) || turn, turn) AS name, string_agg(text, ' ' ORDER BY turn) AS bio, min(turn) AS first_pos FROM conversations GROUP BY 1, 2)"
 
 
 def _characters(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", F.col("role").alias("char_id"), F.col("turn").alias("pos"), F.concat(F.upper("role"), F.col("turn").cast("string")).alias("name"), F.substring("text", 1, 60).alias("details"))
+    rows = table(spark, d, "conversations").select("conv_id", F.col("role").alias("char_id"), F.col("turn").alias("pos"), F.concat(F.upper("role"), F.col("turn").cast("string")).alias("name"), F.col("text").alias("details"))
     return entities.merge_characters(rows, ["conv_id"])
 
 
@@ -249,13 +281,16 @@ def merge_entities(spark, d):
 
 
 @query(
-    f"""WITH e AS {_ENTITIES}, c AS (SELECT *, CASE WHEN char_id IN ('user', 'assistant') THEN CASE WHEN EXISTS (SELECT 1 FROM e x WHERE x.conv_id = e.conv_id AND x.char_id = 'assistant') THEN 'assistant' ELSE 'user' END ELSE char_id END AS k FROM e),
+    f"""WITH e AS {_ENTITIES}, c AS (SELECT *, CASE WHEN char_id = 'user' AND EXISTS (SELECT 1 FROM e x WHERE x.conv_id = e.conv_id AND x.char_id = 'assistant') AND conv_id % 2 = 0 THEN 'assistant' ELSE char_id END AS k FROM e),
     r AS (SELECT conv_id, k, max_by(name, (length(name), -first_pos)) AS name, list_reduce(list(bio ORDER BY first_pos, bio), lambda a, b: CASE WHEN contains(a, b) THEN a ELSE a || ' ' || b END) AS bio, min(first_pos) AS first_pos FROM c GROUP BY 1, 2)
     SELECT conv_id, k AS char_id, name, bio, first_pos FROM r"""
 )
 def dedup_fold(spark, d):
     chars = _characters(spark, d)
-    groups = chars.select("conv_id").distinct().select("conv_id", F.explode(F.array(*(F.struct(F.lit(m).alias("member_no"), F.lit(c).alias("char_id")) for m, c in enumerate(("user", "assistant", "stranger"))))).alias("x")).select("conv_id", F.lit(0).alias("group_no"), "x.*")
+    # A later group of one's own overrides the first one in every other conversation; a group of strangers does nothing.
+    given = [(0, 0, "user"), (0, 1, "assistant"), (0, 2, "a_stranger_with_a_long_id"), (1, 0, "user"), (2, 0, "stranger")]
+    groups = chars.select("conv_id").distinct().select("conv_id", F.explode(F.array(*(F.struct(F.lit(g).alias("group_no"), F.lit(m).alias("member_no"), F.lit(c).alias("char_id")) for g, m, c in given))).alias("x")).select("conv_id", "x.*")
+    groups = groups.where("group_no <> 1 OR conv_id % 2 = 1")
     return entities.fold_aliases(chars, entities.alias_map(groups, chars, ["conv_id"]), ["conv_id"])
 
 
@@ -322,14 +357,22 @@ def describe_voice(spark, d):
     return voices.voice_catalog(spark)
 
 
+@query(
+    "SELECT string_agg('- ' || v || ': ' || coalesce(map {" + ", ".join(f"'{k}': '{v}'" for k, v in voices.LANGUAGES.items()) + "}[substr(v, 1, 1)], 'English') || CASE WHEN substr(v, 2, 1) = 'f' THEN ' female' ELSE ' male' END, chr(10) ORDER BY i) AS text FROM (VALUES "
+    + ", ".join(f"({i}, '{v}')" for i, v in enumerate(voices.ALL_VOICES)) + ") x(i, v)"
+)
+def catalog_text(spark, d):
+    return voices.catalog_text(voices.voice_catalog(spark))
+
+
 @query(f"SELECT chapter, line_no, CASE WHEN speaker = 'user' THEN speaker ELSE 'narrator' END AS speaker FROM {LINES}")
 def speaker_fallback(spark, d):
     return jobs.with_known_speakers(script_lines(spark, d), spark.createDataFrame([("user",), ("narrator",)], "speaker string")).select("chapter", "line_no", "speaker")
 
 
-@query(f"SELECT chapter, line_no, speaker, CASE WHEN speaker = 'user' THEN 'am_adam' ELSE 'bm_george' END AS voice, CASE WHEN speaker = 'user' THEN 1.1 ELSE 0.95 END::DOUBLE AS speed FROM {LINES}")
+@query(f"SELECT chapter, line_no, speaker, CASE WHEN speaker = 'user' THEN 'am_adam' ELSE 'bm_george' END AS voice, CASE WHEN speaker = 'user' THEN 1.0 ELSE 0.95 END::DOUBLE AS speed FROM {LINES}")
 def voice_lookup_default(spark, d):
-    entries = spark.createDataFrame([("user", "am_adam", 1.1), ("narrator", "bm_george", 0.95)], "speaker string, voice string, speed double")
+    entries = spark.createDataFrame([("user", "am_adam", None), ("user", "bm_lewis", 1.2), ("narrator", "bm_george", 0.95)], "speaker string, voice string, speed double")
     return jobs.with_voices(script_lines(spark, d), entries).select("chapter", "line_no", "speaker", "voice", "speed")
 
 
@@ -409,19 +452,154 @@ def ffmetadata(spark, d):
 
 
 @query(
-    f"""WITH c AS {_CHAPTERS}, p AS (SELECT chapter, unnest(CASE WHEN chime_ms IS NOT NULL AND announce_ms IS NOT NULL THEN [{{'kind': 'chime', 'ms': chime_ms}}, {{'kind': 'gap', 'ms': 500}}, {{'kind': 'announce', 'ms': announce_ms}}, {{'kind': 'gap', 'ms': 1000}}] ELSE [] END
-        || [{{'kind': 'chapter', 'ms': duration_ms}}, {{'kind': 'gap', 'ms': 3000}}]) AS x FROM c),
-    n AS (SELECT chapter, x.kind AS kind, x.ms AS ms FROM p)
-    SELECT chapter, kind, ms::BIGINT AS ms, count(*)::BIGINT AS n FROM n GROUP BY ALL"""
+    f"""WITH c AS {_CHAPTERS},
+    q AS (SELECT chapter, CASE WHEN chime_ms IS NOT NULL AND announce_ms IS NOT NULL THEN [{{'kind': 'chime', 'ms': chime_ms}}, {{'kind': 'gap', 'ms': 500}}, {{'kind': 'announce', 'ms': announce_ms}}, {{'kind': 'gap', 'ms': 1000}}] ELSE [] END
+        || [{{'kind': 'chapter', 'ms': duration_ms}}, {{'kind': 'gap', 'ms': 3000}}] AS l FROM c)
+    SELECT chapter, (i - 1)::INT AS k, l[i].kind AS kind, l[i].ms::BIGINT AS ms FROM (SELECT chapter, l, unnest(range(1, len(l) + 1)) AS i FROM q)"""
 )
 def interleave(spark, d):
-    return timeline.interleaved(_chapters(spark, d), "chapter").groupBy("chapter", "kind", "ms").agg(F.count("*").alias("n"))
+    return timeline.interleaved(_chapters(spark, d), "chapter").select("chapter", "k", "kind", "ms")
 
 
-@query("SELECT n_nationkey, 'The Book. ' || 'Nation ' || n_nationkey || '.' AS line, TRUE AS is_audio, FALSE AS is_intro FROM nation")
+@query(
+    """WITH n AS (SELECT n_regionkey AS book, CASE WHEN n_nationkey % 5 = 0 THEN '00-intro' WHEN n_nationkey % 7 = 3 THEN printf('%02d-intro', n_nationkey) WHEN n_nationkey % 5 = 1 THEN printf('%02d-', n_nationkey) || lower(n_name) || '.announce'
+        WHEN n_nationkey % 11 = 2 THEN 'chime' ELSE printf('%02d-', n_nationkey) || lower(n_name) END AS stem, n_nationkey AS k, n_name FROM nation),
+    m AS (SELECT *, NOT (stem LIKE '%.announce' OR stem = 'chime') AS is_audio, stem LIKE '%-intro' AS is_intro FROM n)
+    SELECT book, k AS n_nationkey, stem, is_audio, is_intro, CASE WHEN is_audio AND NOT is_intro AND k % 3 > 0 THEN 'The Book. Nation ' || k || '.' END AS line FROM m"""
+)
 def announcements(spark, d):
-    stem = F.concat(F.format_string("%02d-", "n_nationkey"), F.lower("n_name"))
-    return table(spark, d, "nation").select("n_nationkey", timeline.announcement(F.lit("The Book"), stem).alias("line"), timeline.is_chapter_audio(stem).alias("is_audio"), timeline.is_intro(stem).alias("is_intro"))
+    k, name = F.col("n_nationkey"), F.concat(F.format_string("%02d-", "n_nationkey"), F.lower("n_name"))
+    stem = F.when(k % 5 == 0, "00-intro").when(k % 7 == 3, F.format_string("%02d-intro", "n_nationkey")).when(k % 5 == 1, F.concat(name, F.lit(".announce"))).when(k % 11 == 2, "chime").otherwise(name)
+    rows = table(spark, d, "nation").select(F.col("n_regionkey").alias("book"), "n_nationkey", F.lit("The Book").alias("title"), stem.alias("stem"))
+    lines = timeline.missing_announcements(rows, rows.where("n_nationkey % 3 = 0"), ["book"]).select("book", "stem", F.col("text").alias("line"))
+    return rows.join(lines, ["book", "stem"], "left").select("book", "n_nationkey", "stem", timeline.is_chapter_audio(F.col("stem")).alias("is_audio"), timeline.is_intro(F.col("stem")).alias("is_intro"), "line")
+
+
+# ---- plans, sources and sinks, each written and read back
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/verso-out-{uuid.uuid4().hex}"
+
+
+_TENTH = f"(SELECT chapter % 10 AS book, chapter, line_no, speaker, text FROM {LINES})"
+
+
+def _tenths(spark, d):
+    return script_lines(spark, d).withColumn("book", F.col("chapter") % 10)
+
+
+@query(
+    rf"""WITH s AS (SELECT book, chapter, line_no, unnest(l) AS text, generate_subscripts(l, 1) AS k FROM (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([.!?…—])[\s\p{{Z}}]+', '\1' || chr(31), 'g'), chr(31)), lambda x: {STRIP("x")}), lambda x: x <> '') AS l FROM {_TENTH})),
+    n AS (SELECT *, (row_number() OVER (PARTITION BY book, chapter ORDER BY line_no, k) - 1)::INT AS idx FROM s)
+    SELECT book, chapter AS number, 'Part ' || chapter AS title, idx, text, 'af_heart' AS voice, 0.9::DOUBLE AS speed, printf('.lines_%03d/%05d.wav', chapter, idx) AS line_file, printf('%03d.wav', chapter) AS chapter_file FROM n"""
+)
+def plan_chapters(spark, d):
+    rows = _tenths(spark, d).select("book", F.col("chapter").alias("number"), F.concat(F.lit("Part "), F.col("chapter").cast("string")).alias("title"), "line_no", "text")
+    return book.plan_chapters(rows, "line_no", "af_heart", 0.9)
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT chapter, line_no, {COUNT("text")} AS n, row_number() OVER (PARTITION BY chapter ORDER BY line_no) AS i FROM {LINES}),
+    r AS (SELECT chapter, line_no, i, n AS total, 1 AS part FROM l WHERE i = 1
+        UNION ALL SELECT l.chapter, l.line_no, l.i, CASE WHEN r.total >= 60 THEN 0 ELSE r.total END + l.n, r.part + CASE WHEN r.total >= 60 THEN 1 ELSE 0 END FROM r JOIN l ON l.chapter = r.chapter AND l.i = r.i + 1)
+    SELECT chapter AS conv_id, line_no, part::INT AS part FROM r"""
+)
+def chapters_by_words(spark, d):
+    rows = script_lines(spark, d).select(F.col("chapter").alias("conv_id"), "line_no", text.word_count(F.col("text")).alias("n"))
+    return select.chapters_by_words(rows, "conv_id", "line_no", "n", 60).withColumnRenamed("chapter", "part")
+
+
+_CAST = [(1, "jean"), (1, "jean_tannen"), (1, "the_king"), (1, "bug"), (2, "king"), (2, "the_king"), (2, "mask"), (2, "twins")]
+_FOLDED = [(1, "bug", "bio of bug"), (1, "jean_tannen", "bio of jean bio of jean_tannen"), (1, "the_king", "bio of the_king"), (2, "the_king", "bio of king bio of the_king bio of mask")]
+
+
+@query("SELECT b AS book, c AS char_id, t AS bio FROM (VALUES " + ", ".join(map(str, _FOLDED)) + ") x(b, c, t)")
+def characters_folded(spark, d):
+    rows = spark.createDataFrame([(b, c, i) for i, (b, c) in enumerate(_CAST)], "book int, char_id string, first_pos int")
+    rows = rows.select("book", "char_id", F.col("char_id").alias("name"), F.concat(F.lit("bio of "), "char_id").alias("bio"), "first_pos")
+    known = spark.createDataFrame([("mask", "the_king")], "alias string, canonical string")
+    return entities.apply_known_aliases(book.fold_by_model(rows, OfflineBackend()), known, ["twins"], ["book"]).select("book", "char_id", "bio")
+
+
+@query(f"SELECT DISTINCT book, speaker AS char_id, 'The voice of ' || speaker || ': speaks in ' || book AS description FROM {_TENTH}")
+def voice_descriptions(spark, d):
+    cast = _tenths(spark, d).select("book", F.col("speaker").alias("char_id")).distinct().withColumn("bio", F.concat(F.lit("speaks in "), F.col("book").cast("string")))
+    return book.voice_descriptions(cast, OfflineBackend())
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT book, speaker AS k FROM {_TENTH} UNION SELECT DISTINCT book, 'narrator' FROM {_TENTH})
+    SELECT book, k AS speaker, CASE WHEN k = 'narrator' THEN 'bm_george' ELSE 'af_heart' END AS voice, 1.0::DOUBLE AS speed FROM c"""
+)
+def voice_map(spark, d):
+    rows = _tenths(spark, d)
+    cast = rows.select("book", F.col("speaker").alias("char_id")).union(rows.select("book", F.lit("narrator"))).distinct().withColumn("bio", F.lit("x"))
+    return book.voice_map(cast, OfflineBackend())
+
+
+@query(
+    f"""WITH p AS (SELECT book, chapter, row_number() OVER (PARTITION BY book, chapter ORDER BY line_no) AS i, {STRIP("text")} AS t FROM {_TENTH}),
+    c AS (SELECT book, chapter, row_number() OVER (PARTITION BY book ORDER BY chapter) AS n, 'Part <' || chapter || '>' AS title, string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (t <> '') AS body FROM p GROUP BY book, chapter)
+    SELECT 'Tale ' || book AS book, n::INT AS pos, printf('OEBPS/chapter_%02d.xhtml', n) AS filename, title || coalesce(chr(10) || chr(10) || body, '') AS text, title FROM c WHERE length(title || coalesce(chr(10) || chr(10) || body, '')) >= 500"""
+)
+def epub_round_trip(spark, d):
+    rows = _tenths(spark, d).groupBy("book", "chapter").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("paragraphs"))
+    name, title = F.concat(F.lit("Tale "), F.col("book").cast("string")), F.concat(F.lit("Part <"), F.col("chapter").cast("string"), F.lit(">"))
+    made = epub.epub_files(rows.select(name.alias("book"), name.alias("title"), F.lit("A. Writer").alias("author"), F.col("chapter").alias("number"), title.alias("chapter_title"), "paragraphs"))
+    return epub.candidates(epub.epub_items(made))
+
+
+@query("SELECT DISTINCT 'Tale ' || conv_id % 10 AS book, 'Tale ' || conv_id % 10 || ' & Co' AS title, 'A. <Writer>' AS author FROM conversations")
+def epub_metadata(spark, d):
+    rows = _tenths(spark, d).select(F.concat(F.lit("Tale "), F.col("book").cast("string")).alias("book"), F.col("chapter").alias("number")).distinct()
+    rows = rows.select("book", F.concat("book", F.lit(" & Co")).alias("title"), F.lit("A. <Writer>").alias("author"), "number", F.lit("x").alias("chapter_title"), F.array(F.lit("y")).alias("paragraphs"))
+    return epub.metadata(epub.epub_items(epub.epub_files(rows)))
+
+
+@query("SELECT source AS book, printf('%02d-x.txt', doc_id) AS file_name, replace(text, chr(13), '') AS text FROM documents")
+def chapter_files(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("book"), F.format_string("%02d-x.txt", "doc_id").alias("file_name"), F.replace("text", F.lit("\r"), F.lit("")).alias("text"))
+    path = _folder(spark)
+    files.write_chapters(docs.where("file_name < '5'"), path)
+    files.write_chapters(docs.withColumn("text", F.when(F.col("file_name") < "5", "overwritten").otherwise(F.col("text"))), path)
+    return files.read_texts(spark, path)
+
+
+@query(f"SELECT book::VARCHAR AS book, printf('%d.jsonl', chapter) AS file_name, (row_number() OVER (PARTITION BY chapter ORDER BY line_no) - 1)::INT AS line_no, speaker, text FROM {_TENTH}")
+def script_files(spark, d):
+    path = _folder(spark)
+    files.write_scripts(_tenths(spark, d).withColumn("file_name", F.format_string("%d.jsonl", "chapter")), path)
+    rows = files.read_texts(spark, path)
+    lines = rows.select("book", "file_name", F.posexplode(files.script_lines_of(F.col("text"))).alias("line_no", "x"))
+    return lines.select("book", "file_name", "line_no", "x.speaker", "x.text")
+
+
+@query("SELECT n_regionkey::VARCHAR AS book, n_name AS char_id, lower(n_name) AS name, 'bio \"of\" ' || n_name AS bio FROM nation")
+def json_files(spark, d):
+    rows = table(spark, d, "nation").select(F.col("n_regionkey").alias("book"), F.col("n_name").alias("char_id"), F.lower("n_name").alias("name"), F.concat(F.lit('bio "of" '), "n_name").alias("bio"))
+    path = _folder(spark)
+    files.write_documents(files.json_document(rows, ["book"], "char_id", ["name", "bio"]), path, "characters.json")
+    read = files.read_texts(spark, path).select("book", F.explode(F.from_json("text", "map<string,struct<name:string,bio:string>>")).alias("char_id", "x"))
+    return read.select("book", "char_id", "x.name", "x.bio")
+
+
+@query("SELECT event_type AS step, event_id::VARCHAR AS detail FROM events UNION ALL SELECT DISTINCT event_type, 'complete' FROM events WHERE event_type < 'm'")
+def state_log(spark, d):
+    path, rows = _folder(spark), table(spark, d, "events")
+    for r in rows.select("event_type").distinct().collect():  # one of five steps
+        state.mark_items(rows.where(F.col("event_type") == r[0]).select(F.col("event_id").alias("item")), path, r[0])
+        if r[0] < "m":
+            state.mark_complete(spark, path, r[0])
+    return state.read_state(spark, path).select("step", "detail")
+
+
+@query("SELECT l_orderkey, sum(ceil(l_quantity * 240)::BIGINT)::BIGINT AS samples, sum(ceil(l_quantity * 240)::BIGINT)::DOUBLE / 24000 AS seconds FROM lineitem GROUP BY 1")
+def joined_sounds(spark, d):
+    n = F.ceil(F.col("l_quantity") * 240).cast("int")
+    pieces = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("x"), "l_linenumber", sound.with_header(F.unhex(F.repeat(F.lit("0100"), n))).alias("data"))
+    joined = sound.joined_wavs(pieces, ["l_orderkey"], "l_linenumber", resample=True)
+    return joined.select("l_orderkey", ((F.octet_length("data") - 44) / 2).cast("long").alias("samples"), sound.wav_seconds("data").alias("seconds"))
 
 
 # ---- state
@@ -439,9 +617,9 @@ def completed_items(spark, d):
     return state.completed_items(state_rows(spark, d), ["book"])
 
 
-@query()
+@query(generator.sql(20, 7))
 def generate_text(spark, d):
-    return generated_sentences(spark, 20, 7)
+    return generator.generated_book(spark, 20, 7)
 
 
 # ---- extensions: not of the reference

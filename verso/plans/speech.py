@@ -6,6 +6,7 @@ outputs are left out before by operators.jobs.pending(). The offline engine make
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -62,6 +63,21 @@ def spoken_batches(line_jobs: DataFrame, voice: Engine, size: int = jobs.BATCH)
     return rows.groupBy("batch_no").applyInPandas(call, RESULT)
 
 
+def voice_samples(cast: DataFrame, voice: Engine, finished: DataFrame | None = None) -> DataFrame:
+    """cast: book, char_id, text, voice, speed. (book, char_id, data): a sample of each character's voice that isn't in finished (book, char_id, size) yet."""
+    rows = cast if finished is None else jobs.pending(cast, finished, ["book", "char_id"])
+    ship(rows.sparkSession)
+    rows = rows.select("book", "char_id", "text", "voice", "speed")
+    kind = rows.schema["book"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            said = [voice.speak([i], 0.0)[2] for i in frame[["text", "voice", "speed"]].to_dict("records")]
+            yield frame[["book", "char_id"]].assign(data=said)
+
+    return rows.mapInPandas(run, f"book {kind}, char_id string, data binary")
+
+
 def line_sounds(batches: DataFrame) -> DataFrame:
     """(book, number, sub_idx, data): each item's slice of its batch, as a WAV file; cut and headed in the JVM."""
     parts = batches.withColumn("wav", sound.wav_parts("data")).drop("data")

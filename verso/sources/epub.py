@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from verso.cluster import ship
-from verso.functions.html import read_blocks, read_title
+from verso.functions.html import read_document
 from verso.functions.text import escape_html
 from verso.operators.select import LEAST_CHARS
 
@@ -52,9 +52,13 @@ def parse_epub(book: str, content: bytes) -> list[tuple]:
 
 def read_epubs(spark: SparkSession, path: str) -> DataFrame:
     """All items of the EPUB files under a path; book is the file's stem."""
-    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(path)
-    files = files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("book"), "content")
+    return epub_items(files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("book"), "content"))
+
+
+def epub_items(files: DataFrame) -> DataFrame:
+    """files: book, content. All items of the books."""
+    ship(files.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in ITEMS.split(", ")]
@@ -71,9 +75,9 @@ def candidates(items: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = frame["html"].map(read_blocks)
-            out = frame[["book", "pos", "filename"]].assign(text=texts, title=frame["html"].map(read_title))
-            yield out[texts.map(lambda t: len(t.strip()) >= LEAST_CHARS)]
+            read = [read_document(h) for h in frame["html"]]
+            out = frame[["book", "pos", "filename"]].assign(text=[t for t, _ in read], title=[t for _, t in read])
+            yield out[out["text"].map(lambda t: len(t.strip()) >= LEAST_CHARS).astype(bool)]
 
     return docs.mapInPandas(run, "book string, pos int, filename string, text string, title string")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verso.functions import replies
@@ -18,8 +18,13 @@ def read_chapters(spark: SparkSession, path: str) -> DataFrame:
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, line_no, speaker, text) of *.jsonl files: one object per line, blank lines skipped."""
     whole = spark.read.option("pathGlobFilter", "*.jsonl").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
-    lines = whole.select("file_name", F.posexplode(F.filter(F.transform(F.split("value", "\n"), strip), lambda x: x != "")).alias("line_no", "line"))
-    return lines.select("file_name", "line_no", replies.script_line(F.col("line")).alias("x")).select("file_name", "line_no", "x.speaker", "x.text")
+    lines = whole.select("file_name", F.posexplode(script_lines_of(F.col("value"))).alias("line_no", "x"))
+    return lines.select("file_name", "line_no", "x.speaker", "x.text")
+
+
+def script_lines_of(text: Column) -> Column:
+    """Array of (speaker, text) of a script file's text."""
+    return F.transform(F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != ""), replies.script_line)
 
 
 def read_json_map(spark: SparkSession, path: str, value: str = "struct<name:string,bio:string,description:string,acoustic:string,voice:string,speed:double>") -> DataFrame:
@@ -31,13 +36,47 @@ def read_json_map(spark: SparkSession, path: str, value: str = "struct<name:stri
 def append_new(rows: DataFrame, path: str, key: list[str], partition: list[str] | None = None) -> None:
     """Append the rows whose key isn't in the Parquet table at `path` yet."""
     spark = rows.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    if exists(spark, path):
         rows = rows.join(spark.read.parquet(path).select(*key), key, "left_anti")
     writer = rows.write.mode("append")
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def write_texts(rows: DataFrame, path: str) -> None:
+    """rows: book, file_name, line_no, line. Text files in a folder for each book and file name; files that are there already stay as they are."""
+    if exists(rows.sparkSession, path):
+        there = read_texts(rows.sparkSession, path).select("book", "file_name")
+        rows = rows.join(there, ["book", "file_name"], "left_anti")
+    rows = rows.select(F.col("book").cast("string").alias("book"), "file_name", "line_no", "line")
+    rows.repartition("book", "file_name").sortWithinPartitions("book", "file_name", "line_no").select("book", "file_name", "line").write.partitionBy("book", "file_name").mode("append").text(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(book, file_name, text) of what write_texts() wrote."""
+    rows = spark.read.schema("text string, book string, file_name string").text(path, wholetext=True)
+    return rows.select("book", "file_name", F.regexp_replace("text", r"\n$", "").alias("text"))
+
+
+def write_chapters(chapters: DataFrame, path: str) -> None:
+    """chapters: book, file_name, text. A text file per chapter."""
+    write_texts(chapters.select("book", "file_name", F.lit(0).alias("line_no"), F.col("text").alias("line")), path)
+
+
+def write_scripts(lines: DataFrame, path: str) -> None:
+    """lines: book, file_name, line_no, speaker, text. A JSONL file per chapter: an object {speaker: text} a line, in order."""
+    write_texts(lines.select("book", "file_name", "line_no", F.to_json(F.create_map("speaker", "text")).alias("line")), path)
+
+
+def write_documents(documents: DataFrame, path: str, file_name: str) -> None:
+    """documents: book, json. A JSON file of that name per book."""
+    write_texts(documents.select("book", F.lit(file_name).alias("file_name"), F.lit(0).alias("line_no"), F.col("json").alias("line")), path)
+
+
 def chapter_rows(intro: DataFrame, chapters: DataFrame) -> DataFrame:
     """intro: book, title, author; chapters: book, number, file_name, text. Adds the intro file to each book."""
     line = F.concat("title", F.lit(" by "), "author", F.lit(", narrated by machine"))

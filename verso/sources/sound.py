@@ -63,10 +63,28 @@ def with_header(frames: Column, rate: int = RATE, width: int = 2, channels: int
     )
 
 
-def joined_wavs(pieces: DataFrame, keys: list[str], order: str, data: str = "data") -> DataFrame:
-    """One WAV per key: its pieces in order; pieces of other formats are an error. keys: string or integer columns."""
+def as_mono(data: bytes, rate: int = RATE) -> bytes:
+    """Frames of a WAV file as 16-bit mono samples at `rate`: channels averaged, times between samples interpolated."""
+    width, channels, own, frames = read_wav(data)
+    if width == 1:
+        x = (np.frombuffer(frames, np.uint8).astype(np.float64) - 128) * 256
+    else:
+        x = np.frombuffer(frames, f"<i{width}").astype(np.float64) / 256 ** (width - 2)
+    x = x.reshape(-1, channels).mean(axis=1)
+    if own != rate and len(x):
+        x = np.interp(np.arange(len(x) * rate // own) * own / rate, np.arange(len(x)), x)
+    return np.clip(np.rint(x), -32768, 32767).astype("<i2").tobytes()
+
+
+def joined_wavs(pieces: DataFrame, keys: list[str], order: str, data: str = "data", resample: bool = False) -> DataFrame:
+    """One WAV per key: its pieces in order. Pieces of other formats are an error, or with `resample` all become 16-bit mono at RATE. keys: string or integer columns."""
     ship(pieces.sparkSession)
 
+    def resampled(frame: pd.DataFrame) -> pd.DataFrame:
+        out = frame[keys].iloc[:1].copy()
+        out["data"] = [wav_bytes(b"".join(as_mono(b) for b in frame.sort_values(order)[data]))]
+        return out
+
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [read_wav(b) for b in frame.sort_values(order)[data]]
         if len({p[:3] for p in parts}) != 1:
@@ -77,7 +95,7 @@ def joined_wavs(pieces: DataFrame, keys: list[str], order: str, data: str = "dat
         return out
 
     kinds = ", ".join(f"{k} {pieces.schema[k].dataType.simpleString()}" for k in keys)
-    return pieces.groupBy(*keys).applyInPandas(join, f"{kinds}, data binary")
+    return pieces.groupBy(*keys).applyInPandas(resampled if resample else join, f"{kinds}, data binary")
 
 
 def tone(hertz: float, seconds: float, rate: int = RATE, fade: float = 0.02) -> np.ndarray:
