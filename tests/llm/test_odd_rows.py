@@ -7,7 +7,7 @@ import public_tokenizers
 from verso.llm import audio, bpe, chats, mixing, near_dups, quality_rules, secrets, substring_dedup, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-LONG = "word and more " * 20_000
+LONG = "word and more " * 90_000  # longer than a block
 ROWS = [(1, "some text here", "en", "a", 1), (1, "some text here", "en", "a", 1), (2, None, None, None, None), (None, "no id", "en", "b", 5), (3, "", "en", "a", 0), (4, " \t\n ", "de", "b", 4), (5, LONG, "en", "a", 9), (6, "x" * 50_000, "en", None, 9), (7, "é ß   日本", "fr", "c", 7)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 MODEL = toxicity.train(["you idiot", "nice day"] * 5, [1, 0] * 5)
