@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verso.cluster import ship
+from verso.cluster import ship, trim
 from verso.llm import bytes_np as B
 
 _WORD = np.zeros(256, bool)
@@ -258,24 +258,30 @@ def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def fitted(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of the bounded sample; the driver's memory for it is given back."""
+    model = train(*training_rows(df, labels, settings, id_col, text_col), settings)
+    trim()
+    return model
+
+
 def toxicity(df: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Train on the labelled rows and score every row."""
-    return score_texts(df, train(*training_rows(df, labels, settings), settings))
+    return score_texts(df, fitted(df, labels, settings))
 
 
 def without_toxic(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df whose text isn't predicted toxic, with df's columns. One scan: the text is scored where it is read."""
     spark = df.sparkSession
     ship(spark)
-    model = train(*training_rows(df, labels, settings, id_col, text_col), settings)
+    model = fitted(df, labels, settings, id_col, text_col)
     shared = spark.sparkContext.broadcast((model.settings, model.weights.astype(np.int32), model.bias))
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         for batch in batches:
-            parts = [model.score(data, off) for _, _, data, off in B.blocks(batch.column(at))]
-            if parts:
-                yield batch.filter(pa.array(np.concatenate(parts) < 0.5))
+            for a, b, data, off in B.blocks(batch.column(at)):
+                yield batch.slice(a, b - a).filter(pa.array(model.score(data, off) < 0.5))
 
     return df.mapInArrow(run, df.schema)
