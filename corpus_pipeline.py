@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verso.cluster import stored
+from verso.cluster import small_batches, stored
 from verso.llm import bpe, mixing, near_dups, secrets, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,11 +26,13 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the classifier doesn't take for toxic. Null and empty texts have the score of no words; without labels all rows stay."""
+    small_batches(spark)
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows with the least id of each class. Rows with a null id, a null text or no words stay, and so do all rows of an id that stays."""
+    small_batches(spark)
     return near_dups.one_of_each_class(docs)
 
 
@@ -47,6 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each row's text, with the digests of ids and decoded text; a row for each row, null texts as empty ones."""
+    small_batches(spark)
     return bpe.encode_decode(docs, VOCABULARY)
 
 
