@@ -87,7 +87,7 @@ def test_toxicity_scores_by_brute_force():
         sums = []
         for w in kept:
             marked = b" " + w + b" "
-            grams = [marked[i : i + n] if len(marked) >= n else (marked + b"   ")[:n] for n in settings.grams for i in range(max(1, len(marked) - n + 1))]
+            grams = [marked[i : i + n] for n in settings.grams for i in range(len(marked) - n + 1)]
             sums.append(sum(int(m.weights[bucket(g)]) for g in grams) // len(grams))
         size = min(settings.window, len(sums))
         top = max((sum(sums[i : i + size]) for i in range(len(sums) - size + 1)), default=0)

@@ -92,8 +92,8 @@ def _buckets(buf: np.ndarray, n: int, bits: int) -> np.ndarray:
 
 
 def _starts(start: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First position and number of the n-grams of each word between its marks (at least one)."""
-    return start - 1, np.maximum(1, end - start + 3 - n)
+    """First position and number of the n-grams of each word between its marks."""
+    return start - 1, np.maximum(0, end - start + 3 - n)
 
 
 class Model:
