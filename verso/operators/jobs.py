@@ -58,14 +58,25 @@ def pending(jobs: DataFrame, outputs: DataFrame, key: list[str], size: str = "si
     return jobs.join(outputs.where(F.col(size) >= LEAST_BYTES).select(*key), key, "left_anti")
 
 
-def batched(jobs: DataFrame, chapter: str, order: list[str], size: int = BATCH) -> DataFrame:
-    """Number of the batch of `size` consecutive jobs over all chapters.
+def _earlier(rows: DataFrame, keys: list[str], order: str, n: str) -> DataFrame:
+    """keys and `_before`: the sum of n over the rows with the same keys, but for `order`, that come before by it."""
+    w = W.partitionBy(*(k for k in keys if k != order)).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return rows.select(*keys, F.coalesce(F.sum(n).over(w), F.lit(0)).alias("_before"))
 
-    Jobs are numbered within their chapter; the jobs of earlier chapters come from a table of one row per chapter.
+
+def batched(jobs: DataFrame, chapter: str, order: list[str], size: int = BATCH, book: str | None = None) -> DataFrame:
+    """Number of the batch of `size` consecutive jobs over all chapters (of all books, if `book` is given).
+
+    Jobs are numbered within their chapter; the jobs of earlier chapters come from a table of one row per chapter, within their
+    book, and those of earlier books from one of one row per book.
     """
-    counts = jobs.groupBy(chapter).agg(F.count("*").alias("_n"))
-    before = counts.select(chapter, F.coalesce(F.sum("_n").over(W.orderBy(chapter).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rows = jobs.join(before, chapter).withColumn("_i", F.row_number().over(W.partitionBy(chapter).orderBy(*order)) - 1 + F.col("_before"))
+    keys = [chapter] if book is None else [book, chapter]
+    counts = jobs.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = _earlier(counts, keys, chapter, "_n")
+    if book is not None:
+        books = counts.groupBy(book).agg(F.sum("_n").alias("_n"))
+        before = before.join(_earlier(books, [book], book, "_n").withColumnRenamed("_before", "_books"), book).select(*keys, (F.col("_before") + F.col("_books")).alias("_before"))
+    rows = jobs.join(before, keys).withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1 + F.col("_before"))
     return rows.withColumn("batch_no", F.floor(F.col("_i") / size)).withColumn("batch_pos", F.col("_i") % size).drop("_i", "_before")
 
 

@@ -89,7 +89,20 @@ def html_blocks_regex(spark, d):
     return rows.select("page_id", F.size("b").alias("n_blocks"), F.array_join("b", "\n\n").alias("text"))
 
 
-@query()
+_ENDS = "ul|ol|dl|table|pre|form|hr|article|section|nav|header|footer|main|aside|fieldset|address"
+_OPENED = rf"regexp_replace(regexp_replace({VISIBLE}, '(?i)<(?:p|h[1-6]|div|blockquote)\b[^>]*>', chr(30), 'g'), '(?i)</(?:p|h[1-6]|div|blockquote)\s*>|<(?:{_ENDS})\b[^>]*>', chr(31), 'g')"
+
+
+def _read(x: str) -> str:
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " ")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return STRIP(f"regexp_replace({x}, '&amp;?', '&', 'g')")
+
+
+_BLOCK = f"array_to_string(list_filter(list_transform(regexp_split_to_array(split_part(x, chr(31), 1), '<[^>]*>'), lambda y: {_read('y')}), lambda y: y <> ''), ' ')"
+
+
+@query(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_OPENED}, chr(30))[2:], lambda x: {_BLOCK}), lambda x: x <> ''), chr(10) || chr(10)) AS text, {TITLE} AS title FROM pages")
 def html_to_text_dom(spark, d):
     return table(spark, d, "pages").select("page_id", html.read_page("html").alias("x")).select("page_id", "x.text", "x.title")
 
@@ -390,6 +403,12 @@ def batch_assign(spark, d):
     return jobs.batched(script_lines(spark, d), "chapter", ["line_no"]).select("chapter", "line_no", "batch_no", "batch_pos")
 
 
+@query(f"SELECT book, chapter, line_no, (i // 40)::BIGINT AS batch_no, (i % 40)::BIGINT AS batch_pos FROM (SELECT book, chapter, line_no, row_number() OVER (ORDER BY book, chapter, line_no) - 1 AS i FROM (SELECT *, chapter % 10 AS book FROM {LINES}))")
+def batch_assign_books(spark, d):
+    rows = script_lines(spark, d).withColumn("book", F.col("chapter") % 10)
+    return jobs.batched(rows, "chapter", ["line_no"], book="book").select("book", "chapter", "line_no", "batch_no", "batch_pos")
+
+
 _ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
@@ -475,7 +494,57 @@ def announcements(spark, d):
     return rows.join(lines, ["book", "stem"], "left").select("book", "n_nationkey", "stem", timeline.is_chapter_audio(F.col("stem")).alias("is_audio"), timeline.is_intro(F.col("stem")).alias("is_intro"), "line")
 
 
-# ---- plans, sources and sinks, each written and read back
+# ---- plans
+
+
+@query("SELECT book, number, title, file_name, filename FROM (" + SQL["chapters_of_pages"] + ")")
+def chapters_by_model(spark, d):
+    items = page_items(spark, d).select("book", "pos", "filename", F.explode(F.array(html.page_parts(F.col("html")))).alias("x")).select("book", "pos", "filename", "x.text", "x.title")
+    return book.chapters_by_model(items, OfflineBackend()).drop("text")
+
+
+_SPOKEN = f"(SELECT chapter % 10 AS book, chapter * 100 + line_no AS number, 'Part ' || line_no AS title, CASE WHEN line_no = 0 THEN ' ' ELSE speaker || ' said \"' || text || '\" and “left”' END AS text FROM {LINES})"
+
+
+def _spoken(spark, d):
+    said = F.when(F.col("line_no") == 0, " ").otherwise(F.concat("speaker", F.lit(' said "'), "text", F.lit('" and “left”')))
+    return script_lines(spark, d).select((F.col("chapter") % 10).alias("book"), (F.col("chapter") * 100 + F.col("line_no")).alias("number"), F.concat(F.lit("Part "), F.col("line_no").cast("string")).alias("title"), said.alias("text"))
+
+
+_SCRIPT = rf"""(WITH p AS (SELECT book, number, unnest(l) AS part, generate_subscripts(l, 1) AS k, text FROM (SELECT *, regexp_split_to_array(text, '["“”]') AS l FROM {_SPOKEN})),
+    q AS (SELECT book, number, k, CASE WHEN k % 2 = 0 THEN 'speech' ELSE 'narrator' END AS speaker, {STRIP("part")} AS text FROM p WHERE {STRIP("part")} <> ''),
+    n AS (SELECT book, number, 1 AS k, 'narrator' AS speaker, text FROM {_SPOKEN} x WHERE length(text) > 0 AND NOT EXISTS (SELECT 1 FROM q WHERE q.number = x.number)),
+    u AS (SELECT * FROM q UNION ALL SELECT * FROM n UNION ALL SELECT book, number, 0, 'narrator', title FROM {_SPOKEN})
+    SELECT book, number, (row_number() OVER (PARTITION BY book, number ORDER BY k) - 1)::INT AS line_no, speaker, text FROM u)"""
+
+
+@query(f"SELECT * FROM {_SCRIPT}")
+def script_by_model(spark, d):
+    """Chapters of under 4,000 characters, so one chunk each; a blank one gets no line from the model in all its attempts."""
+    return book.script(_spoken(spark, d).where("length(text) < 4000"), OfflineBackend())
+
+
+@query(
+    f"SELECT book, number, (row_number() OVER (PARTITION BY book, number ORDER BY line_no) - 1)::INT AS sub_idx, printf('%05d.wav', (row_number() OVER (PARTITION BY book, number ORDER BY line_no) - 1)::INT) AS out_key, CASE WHEN book % 2 = 0 AND speaker = 'speech' THEN 'speech' ELSE 'narrator' END AS speaker, CASE WHEN book % 2 = 0 AND speaker = 'speech' THEN 'am_adam' WHEN book % 3 = 0 THEN 'bm_george' ELSE 'af_heart' END AS voice, CASE WHEN book % 2 = 0 AND speaker = 'speech' THEN 1.0 WHEN book % 3 = 0 THEN 0.9 ELSE 1.0 END::DOUBLE AS speed, text FROM {_SCRIPT} WHERE {COUNT('text')} <= 35 QUALIFY sub_idx <> 1"
+)
+def plan_of_jobs(spark, d):
+    """Lines of 35 words at most, so one piece each; some books have voices for speech, some for the narrator, some none; the second job of each chapter is finished."""
+    lines = book.script(_spoken(spark, d), OfflineBackend()).where(text.word_count(F.col("text")) <= 35)
+    books = lines.select("book").distinct()
+    some = books.where("book % 2 = 0").selectExpr("book", "'speech' AS speaker", "'am_adam' AS voice", "CAST(NULL AS DOUBLE) AS speed")
+    narrators = books.where("book % 3 = 0").selectExpr("book", "'narrator' AS speaker", "'bm_george' AS voice", "0.9D AS speed")
+    finished = lines.select("book", "number").distinct().selectExpr("book", "number", "'00001.wav' AS out_key", "5000 AS size")
+    return book.plan_jobs(lines, some.unionByName(narrators), finished)
+
+
+@query("SELECT n_nationkey, n_name AS name, 'of ' || n_regionkey AS bio FROM nation")
+def strict_objects(spark, d):
+    entry = F.to_json(F.struct(F.col("n_name").alias("name"), F.concat(F.lit("of "), F.col("n_regionkey").cast("string")).alias("bio")))
+    reply = F.concat(F.lit("So:\n```json\n"), entry, F.lit("\n```"))
+    return table(spark, d, "nation").select("n_nationkey", replies.parse_strict(reply, "struct<name:string,bio:string>").alias("x")).select("n_nationkey", "x.*")
+
+
+# ---- sources and sinks, each written and read back
 
 
 def _folder(spark) -> str:
@@ -510,16 +579,16 @@ def chapters_by_words(spark, d):
     return select.chapters_by_words(rows, "conv_id", "line_no", "n", 60).withColumnRenamed("chapter", "part")
 
 
-_CAST = [(1, "jean"), (1, "jean_tannen"), (1, "the_king"), (1, "bug"), (2, "king"), (2, "the_king"), (2, "mask"), (2, "twins")]
-_FOLDED = [(1, "bug", "bio of bug"), (1, "jean_tannen", "bio of jean bio of jean_tannen"), (1, "the_king", "bio of the_king"), (2, "the_king", "bio of king bio of the_king bio of mask")]
+_CAST = [(1, "anna"), (1, "anna_berg"), (1, "the_miller"), (1, "bo"), (2, "miller"), (2, "the_miller"), (2, "mask"), (2, "crowd")]
+_FOLDED = [(1, "bo", "bio of bo"), (1, "anna_berg", "bio of anna bio of anna_berg"), (1, "the_miller", "bio of the_miller"), (2, "the_miller", "bio of miller bio of the_miller bio of mask")]
 
 
 @query("SELECT b AS book, c AS char_id, t AS bio FROM (VALUES " + ", ".join(map(str, _FOLDED)) + ") x(b, c, t)")
 def characters_folded(spark, d):
     rows = spark.createDataFrame([(b, c, i) for i, (b, c) in enumerate(_CAST)], "book int, char_id string, first_pos int")
     rows = rows.select("book", "char_id", F.col("char_id").alias("name"), F.concat(F.lit("bio of "), "char_id").alias("bio"), "first_pos")
-    known = spark.createDataFrame([("mask", "the_king")], "alias string, canonical string")
-    return entities.apply_known_aliases(book.fold_by_model(rows, OfflineBackend()), known, ["twins"], ["book"]).select("book", "char_id", "bio")
+    known = spark.createDataFrame([("mask", "the_miller")], "alias string, canonical string")
+    return entities.apply_known_aliases(book.fold_by_model(rows, OfflineBackend()), known, ["crowd"], ["book"]).select("book", "char_id", "bio")
 
 
 @query(f"SELECT DISTINCT book, speaker AS char_id, 'The voice of ' || speaker || ': speaks in ' || book AS description FROM {_TENTH}")
@@ -557,12 +626,14 @@ def epub_metadata(spark, d):
     return epub.metadata(epub.epub_items(epub.epub_files(rows)))
 
 
-@query("SELECT source AS book, printf('%02d-x.txt', doc_id) AS file_name, replace(text, chr(13), '') AS text FROM documents")
+@query(f"SELECT book::VARCHAR AS book, printf('%02d-x.txt', chapter) AS file_name, replace(string_agg(text, chr(10) ORDER BY line_no), chr(13), '') AS text FROM {_TENTH} GROUP BY book, chapter")
 def chapter_files(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("book"), F.format_string("%02d-x.txt", "doc_id").alias("file_name"), F.replace("text", F.lit("\r"), F.lit("")).alias("text"))
-    path = _folder(spark)
-    files.write_chapters(docs.where("file_name < '5'"), path)
-    files.write_chapters(docs.withColumn("text", F.when(F.col("file_name") < "5", "overwritten").otherwise(F.col("text"))), path)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
+    rows = _tenths(spark, d).groupBy("book", "chapter").agg(F.replace(F.array_join(lines, "\n"), F.lit("\r"), F.lit("")).alias("text"))
+    rows = rows.select("book", F.format_string("%02d-x.txt", "chapter").alias("file_name"), "text")
+    path, some = _folder(spark), F.col("book") < 5
+    files.write_chapters(rows.where(some), path)
+    files.write_chapters(rows.withColumn("text", F.when(some, "overwritten").otherwise(F.col("text"))), path)
     return files.read_texts(spark, path)
 
 
@@ -594,12 +665,12 @@ def state_log(spark, d):
     return state.read_state(spark, path).select("step", "detail")
 
 
-@query("SELECT l_orderkey, sum(ceil(l_quantity * 240)::BIGINT)::BIGINT AS samples, sum(ceil(l_quantity * 240)::BIGINT)::DOUBLE / 24000 AS seconds FROM lineitem GROUP BY 1")
+@query(f"SELECT conv_id, sum({COUNT('text')} * 100)::BIGINT AS samples, sum({COUNT('text')} * 100)::DOUBLE / 24000 AS seconds FROM conversations GROUP BY 1")
 def joined_sounds(spark, d):
-    n = F.ceil(F.col("l_quantity") * 240).cast("int")
-    pieces = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("x"), "l_linenumber", sound.with_header(F.unhex(F.repeat(F.lit("0100"), n))).alias("data"))
-    joined = sound.joined_wavs(pieces, ["l_orderkey"], "l_linenumber", resample=True)
-    return joined.select("l_orderkey", ((F.octet_length("data") - 44) / 2).cast("long").alias("samples"), sound.wav_seconds("data").alias("seconds"))
+    n = text.word_count(F.col("text")) * 100
+    pieces = table(spark, d, "conversations").select("conv_id", "turn", sound.with_header(F.unhex(F.repeat(F.lit("0100"), n))).alias("data"))
+    joined = sound.joined_wavs(pieces, ["conv_id"], "turn", resample=True)
+    return joined.select("conv_id", ((F.octet_length("data") - 44) / 2).cast("long").alias("samples"), sound.wav_seconds("data").alias("seconds"))
 
 
 # ---- state

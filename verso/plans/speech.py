@@ -48,8 +48,7 @@ ENGINES: dict[str, type] = {"offline": OfflineEngine}
 def spoken_batches(line_jobs: DataFrame, voice: Engine, size: int = jobs.BATCH) -> DataFrame:
     """line_jobs: book, number, sub_idx, text, voice, speed. RESULT rows, one per batch of `size` jobs; a batch is one call."""
     ship(line_jobs.sparkSession)
-    rows = line_jobs.withColumn("_chapter", F.struct("book", "number"))
-    rows = jobs.batched(rows, "_chapter", ["sub_idx"], size).drop("_chapter")
+    rows = jobs.batched(line_jobs, "number", ["sub_idx"], size, book="book")
 
     def call(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("batch_pos")
