@@ -180,6 +180,7 @@ def train(texts: list[str | None], labels: list[int], settings: Settings = Setti
         parts.append((buf, start + bytes_before, end + bytes_before, first[:-1] + words_before, np.diff(first)))
         bytes_before, words_before = bytes_before + len(buf), words_before + len(start)
     buf, start, end, first, count = (np.concatenate([x[i] for x in parts]) for i in range(5))
+    del parts
     used = np.flatnonzero(count > 0)
     d = settings.dims
     emb = np.zeros((1 << settings.bits, d))
