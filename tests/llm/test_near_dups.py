@@ -163,6 +163,16 @@ def test_many_pairs_across_the_border_of_a_class(spark):
     assert got == want
 
 
+def test_refined_buckets_lose_no_link(spark):
+    """Each of 150 texts is near to one member of the hub's class only, and refining may deal the two into different parts."""
+    base = [f"w{i}" for i in range(200)]
+    first, second = members_and_neighbours(random.Random(5), base, 150, "p")
+    got, want = found(spark, [base, *first, *second], near_dups.Settings(most=16))
+    assert got == want and set(want.values()) == {0}
+    got, want = found(spark, [base, *first, *second], near_dups.Settings(most=16, depth=1, block_bytes=40_000))
+    assert got == want
+
+
 def test_forest_against_brute_force():
     rng = random.Random(8)
     base = [f"w{i}" for i in range(60)] * 2

@@ -12,9 +12,10 @@ node is compared with one hub, its least node; similarities are exact, from both
 its hub. The triangle inequality of the distance 1 - similarity tells which of its nodes may still be linked to one another; these are
 compared exactly, without a row for each pair: a task gets two blocks of texts, a product of matrices gives all their similarities,
 and only links that connect them are returned. An open bucket of over `most` nodes is first refined: its nodes are dealt anew by `rows`
-further coordinates, in `splits` ways, up to `depth` times, and what is still larger then is compared in blocks as it is.
-Nothing is left out. A pair of similarity 0.8 shares no bucket with a probability under 2e-4, and no part of a bucket that was
-refined three times, in any band, with one under 5e-3. Links stay distributed; classes are connected components.
+further coordinates, in `splits` ways, up to `depth` times; parts of at most `most` nodes are compared in blocks, larger ones with a hub.
+Parts only find classes sooner, since a pair may share none: afterwards the whole bucket is compared in blocks, all its nodes outside
+its largest class with one another and with that class, so each pair that shares a bucket is in one class or has been compared.
+A pair of similarity 0.8 shares no bucket with a probability under 2e-4. Links stay distributed; classes are connected components.
 
 Edge cases: null texts and texts without words are in no group; rows with a null id have a null class and are never
 removed; rows of equal ids are one document; a class is named by its least id; an empty table gives an empty result;
@@ -213,18 +214,18 @@ def _links(records: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _open(buckets: DataFrame, records: DataFrame, settings: Settings) -> DataFrame:
-    """(unit, node, inside) of the nodes, but for hubs, that may have links to others of their bucket which no hub tells. inside: linked to the hub."""
+    """(unit, node, comp, inside) of the nodes, but for hubs, that may have links to others of their bucket which no hub tells. inside: linked to the hub, which then is comp; else comp is the node."""
     slack = 1 - settings.percent / 100 + 1e-9
     rated = records.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("shared") / F.col("whole")).alias("far"), (F.col("shared") * 100 >= F.col("whole") * settings.percent).alias("inside"))
-    rated = buckets.where("hub < node").join(rated, ["node", "hub"]).select("band", "node", "far", "inside")
+    rated = buckets.where("hub < node").join(rated, ["node", "hub"]).select("band", "node", "hub", "far", "inside")
     sides = rated.groupBy("band").agg(F.count_if(~F.col("inside")).alias("n_out"), F.min(F.when(~F.col("inside"), F.col("far"))).alias("nearest_out"), F.max(F.when(F.col("inside"), F.col("far"))).alias("furthest_in"), F.count("*").alias("n"))
     sides = sides.where("n_out > 0 AND n > 1")
     wanted = F.when(F.col("inside"), F.col("far") >= F.col("nearest_out") - slack).otherwise((F.col("n_out") > 1) | (F.col("far") <= F.col("furthest_in") + slack))
-    return rated.join(sides, "band").where(wanted).select(F.col("band").alias("unit"), "node", "inside")
+    return rated.join(sides, "band").where(wanted).select(F.col("band").alias("unit"), "node", F.when(F.col("inside"), F.col("hub")).otherwise(F.col("node")).alias("comp"), "inside")
 
 
 def _refined(large: DataFrame, texts: DataFrame, level: int, settings: Settings) -> DataFrame:
-    """large (unit, node, inside): the same nodes under units that share `rows` more coordinates, in `splits` ways."""
+    """large (unit, node, comp, inside): the same nodes under units that share `rows` more coordinates, in `splits` ways."""
     nodes = large.select(F.col("node").alias("id")).distinct().join(texts, "id").select("id", "text")
     kind = nodes.schema["id"].dataType.simpleString()
     picks = [np.random.default_rng([level, j]).choice(settings.k, settings.rows, replace=False) for j in range(settings.splits)]
@@ -238,27 +239,42 @@ def _refined(large: DataFrame, texts: DataFrame, level: int, settings: Settings)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["node", "parts"])
 
     keys = nodes.mapInArrow(run, f"node {kind}, parts array<long>")
-    return large.join(keys, "node").select("unit", "node", "inside", F.posexplode("parts").alias("way", "part")).select(F.xxhash64("unit", "way", "part").alias("unit"), "node", "inside")
+    parts = large.join(keys, "node").select("unit", "node", "comp", "inside", F.posexplode("parts").alias("way", "part"))
+    return parts.select(F.xxhash64("unit", "way", "part").alias("unit"), "node", "comp", "inside")
 
 
-def _units(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """members in units of `most` nodes at most, where refining can make them so small, and of two nodes at least."""
-    done, level = [], 0
-    members = stored(members)
+def _units(members: DataFrame, texts: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame | None, list[DataFrame]]:
+    """members in units of two nodes and `most` nodes at most; parts that refining leaves larger; the units that were refined, None if there is none; what is stored for them."""
+    done, whole = [], None
+    members = [stored(members)]
     while True:
-        sizes = members.groupBy("unit").agg(F.count("*").alias("n"), F.count_if(~F.col("inside")).alias("n_out")).where("n > 1 AND n_out > 0").select("unit", "n")
-        sized = members.join(sizes, "unit")
+        sizes = members[-1].groupBy("unit").agg(F.count("*").alias("n"), F.count_if(~F.col("inside")).alias("n_out")).where("n > 1 AND n_out > 0").select("unit", "n")
+        sized = members[-1].join(sizes, "unit")
+        done.append(sized.where(F.col("n") <= settings.most).drop("n"))
         large = sized.where(F.col("n") > settings.most).drop("n")
+        level = len(members) - 1
         if level == settings.depth or large.isEmpty():
-            done.append(sized.drop("n"))
             break
-        done.append(sized.where(F.col("n") <= settings.most).drop("n"))
-        members = stored(_refined(large, texts, level, settings))
-        level += 1
+        whole = whole or large
+        members.append(stored(_refined(large, texts, level, settings)))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out, large, whole, members
+
+
+def _hub_links(units: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) of the nodes of a unit to its least node, but between those that are inside."""
+    heads = units.groupBy("unit").agg(F.min(F.struct("node", "inside")).alias("hub"))
+    pairs = units.join(heads, "unit").where("node > hub.node AND NOT (inside AND hub.inside)").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+    return _links(_checked(pairs, texts, settings), settings)
+
+
+def _undecided(units: DataFrame, comps: DataFrame) -> DataFrame:
+    """(unit, node, comp, inside) of the units whose nodes are of several classes by comps (node, comp). inside: of the class with most nodes there."""
+    known = units.select("unit", "node").join(comps, "node", "left").select("unit", "node", F.coalesce("comp", "node").alias("comp"))
+    sides = known.groupBy("unit", "comp").agg(F.count("*").alias("n")).groupBy("unit").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("classes"))
+    return known.join(sides.where("classes > 1"), "unit").select("unit", "node", "comp", (F.col("comp") == F.col("main")).alias("inside"))
 
 
 def forest(total: np.ndarray, text: np.ndarray, key: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -290,14 +306,20 @@ def forest(total: np.ndarray, text: np.ndarray, key: np.ndarray, weight: np.ndar
 
 
 def _block_links(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """members (unit, node, inside): links (a, b) that connect all nodes of a unit which are near, but for those which their hub connects."""
+    """members (unit, node, comp, inside): links (a, b) between comps that connect all those with near nodes in a unit. Nodes inside are of one comp and aren't compared with each other."""
     kind = members.schema["node"].dataType.simpleString()
     units = members.join(texts.select(F.col("id").alias("node"), F.greatest(F.octet_length("text"), F.lit(512)).alias("size")), "node")
-    many = units.groupBy("unit").agg(F.ceil(F.sum("size") / settings.block_bytes).cast("int").alias("m"))
-    own = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
-    placed = members.join(many, "unit").select("unit", "node", "inside", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
-    placed = placed.select("unit", "node", "inside", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    sent = placed.join(texts.select(F.col("id").alias("node"), "text"), "node").select("unit", "i", "j", "own", "node", "inside", "text")
+    blocks = lambda size: F.ceil(F.coalesce(F.sum(size), F.lit(0)) / settings.block_bytes).cast("int")
+    many = units.groupBy("unit").agg(blocks("size").alias("m"), blocks(F.when(~F.col("inside"), F.col("size"))).alias("m_out"), blocks(F.when(F.col("inside"), F.col("size"))).alias("m_in"))
+    # blocks 0 to m_out - 1 hold the nodes outside, further ones those inside; a unit of one block stays whole
+    many = many.select("unit", F.when(F.col("m") == 1, 1).otherwise(F.col("m_out")).alias("m_out"), F.when(F.col("m") == 1, 0).otherwise(F.col("m_in")).alias("m_in"))
+    apart = F.col("inside") & (F.col("m_in") > 0)
+    hashed = F.xxhash64("node")
+    own = F.when(apart, F.col("m_out") + F.pmod(hashed, F.greatest("m_in", F.lit(1)))).otherwise(F.pmod(hashed, F.col("m_out"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(apart, F.col("m_out")).otherwise(F.col("m_out") + F.col("m_in")) - 1)
+    placed = members.join(many, "unit").select("unit", "node", "comp", "inside", own.alias("own"), F.explode(others).alias("other"))
+    placed = placed.select("unit", "node", "comp", "inside", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sent = placed.join(texts.select(F.col("id").alias("node"), "text"), "node").select("unit", "i", "j", "own", "comp", "inside", "text")
 
     def run(table: pa.Table) -> pa.Table:
         parts, n = [], len(table)
@@ -307,10 +329,11 @@ def _block_links(members: DataFrame, texts: DataFrame, settings: Settings) -> Da
         text, key, weight = (np.concatenate([p[i] for p in parts]) for i in range(3))
         total = np.bincount(text, weights=weight, minlength=n)
         own = table.column("own").to_numpy()
-        comp = np.where(table.column("inside").to_numpy(), 0, np.arange(1, n + 1))
-        left, right = (np.flatnonzero(own == table.column(c)[0].as_py()) for c in ("i", "j"))
-        a, b = forest(total, text, key, weight, left, right, comp, settings.percent)
-        return pa.table({"a": table.column("node").take(pa.array(a)), "b": table.column("node").take(pa.array(b))})
+        comp = table.column("comp").combine_chunks()
+        left = np.flatnonzero((own == table.column("i")[0].as_py()) & ~table.column("inside").to_numpy())
+        right = np.flatnonzero(own == table.column("j")[0].as_py())
+        a, b = forest(total, text, key, weight, left, right, comp.dictionary_encode().indices.to_numpy(), settings.percent)
+        return pa.table({"a": comp.take(pa.array(a)), "b": comp.take(pa.array(b))})
 
     return sent.groupBy("unit", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
 
@@ -324,10 +347,21 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     texts = stored(source.join(buckets.select(F.col("node").alias("id")).distinct(), "id", "left_semi"))
     pairs = buckets.where("hub < node").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     records = stored(_checked(pairs, texts, settings))
-    more = stored(_block_links(_units(_open(buckets, records, settings), texts, settings), texts, settings))
-    comps = components(_links(records, settings).unionByName(more))
-    dropped(buckets, texts, records, more)
+    units, crowded, whole, kept = _units(_open(buckets, records, settings), texts, settings)
+    more = stored(_block_links(units, texts, settings))
+    links = _links(records, settings).unionByName(more)
+    if whole is not None:
+        hubs = stored(_hub_links(crowded, texts, settings))
+        links = links.unionByName(hubs)
+        kept.append(hubs)
+    comps = components(links)
     placed = nodes.select("words_key", "node").join(comps, "node", "left").select("words_key", F.coalesce("comp", "node").alias("comp"))
+    if whole is not None:
+        rest = stored(_undecided(whole, comps))
+        joined = components(_block_links(rest, texts, settings)).withColumnRenamed("comp", "least")
+        kept.append(rest)
+        placed = placed.join(joined, placed["comp"] == joined["node"], "left").select("words_key", F.coalesce("least", "comp").alias("comp"))
+    dropped(buckets, texts, records, more, *kept)
     placed = rows.select("id", "words_key").join(placed, "words_key").groupBy("id").agg(F.min("comp").alias("class_id"))
     return source.select("id").join(placed, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
 
