@@ -1,12 +1,13 @@
 """The pipeline's stages against plain Python, stage by stage on what the one before kept."""
 
 import hashlib
+import random
 import re
 
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.test_near_dups import classes
+from tests.llm.test_near_dups import classes, members_and_neighbours
 from tests.llm.test_secrets import base
 from verso.llm import mixing, toxicity
 
@@ -43,3 +44,12 @@ def test_stages(spark, sf):
         assert r["ids"] == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
     assert all(re.fullmatch("[0-9a-f]{64}", r["ids_sha256"]) for r in coded)
+
+
+def test_one_text_stays_of_a_class_whose_buckets_are_refined(spark, sf):
+    """1,500 texts near to the first one, and 1,500 that are each near to one of these only: one class, so one row stays."""
+    base = [f"w{i}" for i in range(200)]
+    first, second = members_and_neighbours(random.Random(5), base, 1500, "p")
+    rows = [(i, " ".join(w), "en", "web", 0) for i, w in enumerate([base, *first, *second])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()] == [0]

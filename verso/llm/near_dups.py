@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verso.cluster import dropped, ship, stored
+from verso.cluster import dropped, ship, stored, trim
 from verso.llm import bytes_np as B
 from verso.llm.components import components
 
 U64 = np.uint64
 BLOCK = 1 << 19
+COLUMNS = 1024  # of a product of matrices at a time
+ROWS = 256  # of its result at a time
 
 
 @dataclass(frozen=True)
@@ -287,18 +289,28 @@ def forest(total: np.ndarray, text: np.ndarray, key: np.ndarray, weight: np.ndar
     _, column = np.unique(column, return_inverse=True)
     order = np.argsort(column, kind="stable")
     text, column = text[order], column[order]
-    shared = np.zeros((len(left), len(right)))
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        a, b = np.searchsorted(column, (at, at + 4096))
-        x = np.zeros((n, int(column[b - 1]) - at + 1), np.float32)
-        x[text[a:b], column[a:b] - at] = 1
-        shared += x[left] @ x[right].T
-    link = (shared * 100 >= (total[left][:, None] + total[right] - shared) * percent) & (comp[left][:, None] != comp[right])
+    shared, row = np.zeros((len(left), len(right))), np.full((2, n), -1)
+    row[0, left], row[1, right] = np.arange(len(left)), np.arange(len(right))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        sides = []
+        for own, size in zip(row, shared.shape):
+            x = np.zeros((size, int(column[b - 1]) - at + 1), np.float32)
+            mine = own[text[a:b]] >= 0
+            x[own[text[a:b][mine]], column[a:b][mine] - at] = 1
+            sides.append(x)
+        shared += sides[0] @ sides[1].T
+    link = np.zeros(shared.shape, bool)
+    some = [slice(at, at + ROWS) for at in range(0, len(left), ROWS)]  # rows at a time: no further matrix of all pairs
+    for r in some:
+        link[r] = (shared[r] * 100 >= (total[left[r]][:, None] + total[right] - shared[r]) * percent) & (comp[left[r]][:, None] != comp[right])
+    del shared
     least = np.arange(n)
     while True:
         before = least.copy()
-        least[left] = np.minimum(least[left], np.where(link, least[right], n).min(1, initial=n))
-        least[right] = np.minimum(least[right], np.where(link, least[left][:, None], n).min(0, initial=n))
+        for r in some:
+            least[left[r]] = np.minimum(least[left[r]], np.where(link[r], least[right], n).min(1, initial=n))
+            least[right] = np.minimum(least[right], np.where(link[r], least[left[r]][:, None], n).min(0, initial=n))
         if (least == before).all():
             break
     moved = np.flatnonzero(least < np.arange(n))
@@ -333,6 +345,9 @@ def _block_links(members: DataFrame, texts: DataFrame, settings: Settings) -> Da
         left = np.flatnonzero((own == table.column("i")[0].as_py()) & ~table.column("inside").to_numpy())
         right = np.flatnonzero(own == table.column("j")[0].as_py())
         a, b = forest(total, text, key, weight, left, right, comp.dictionary_encode().indices.to_numpy(), settings.percent)
+        del parts, text, key, weight
+        if n > 512:
+            trim()
         return pa.table({"a": comp.take(pa.array(a)), "b": comp.take(pa.array(b))})
 
     return sent.groupBy("unit", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
