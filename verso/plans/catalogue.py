@@ -104,7 +104,8 @@ _BLOCK = f"array_to_string(list_filter(list_transform(regexp_split_to_array(spli
 
 @query(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_OPENED}, chr(30))[2:], lambda x: {_BLOCK}), lambda x: x <> ''), chr(10) || chr(10)) AS text, {TITLE} AS title FROM pages")
 def html_to_text_dom(spark, d):
-    return table(spark, d, "pages").select("page_id", html.read_page("html").alias("x")).select("page_id", "x.text", "x.title")
+    rows = table(spark, d, "pages").select("page_id", html.read_page("html").alias("x"), html.heading_title(F.col("html")).alias("title"))
+    return rows.select("page_id", "x.text", "title")
 
 
 SLUG = lambda x: rf"regexp_replace({STRIP(rf"regexp_replace(lower(strip_accents({x})), '[^a-z0-9\s]', '', 'g')")}, '\s+', '_', 'g')"
